@@ -81,7 +81,7 @@ class PieceCounter:
                 common = [b for b in new if b in own and self.stable(text, b)]
                 if common:
                     splice = common[len(common) // 2]
-                    total += sum(done <= b < splice for b in begins)
+                    total += sum(b < splice for b in begins)
                     done, stop = splice, new_stop
                     begins = [b for b in new if b >= splice]
                     break
@@ -90,10 +90,10 @@ class PieceCounter:
                     # No boundary in all that is left of this chunk: encode on from the last one.
                     stop = min(len(text), stop + max(self.chunk, stop - done))
                     lead = self._lead(text, done)
-                    begins = [b for b in self.boundaries(text, lead, stop) if b >= done]
+                    begins = [b for b in self.boundaries(text, lead, stop) if b >= done or not done]
                     break
                 width *= 2
-        return total + sum(b >= done for b in begins)
+        return total + len(begins)
 
     def _lead(self, text: str, done: int) -> int:
         """Where to begin encoding so that the tokens from ``done`` on are those of the whole text."""
