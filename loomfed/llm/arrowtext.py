@@ -149,10 +149,8 @@ def shingle_hashes(word_hash: np.ndarray, rows: np.ndarray, n_rows: int, width:
         out[full] = mix(rolled[whole])
     for r in np.flatnonzero((counts > 0) & (counts < width)):
         ws = word_hash[first[r] : first[r + 1]]
-        h = _U(len(ws))
-        for k, w in enumerate(ws):
-            h = h + w * _SHINGLE_MUL[k]
-        out[offsets[r]] = mix(np.array([h ^ _U(0xA5A5A5A5A5A5A5A5)], dtype=np.uint64))[0]
+        h = len(ws) + sum(int(w) * int(m) for w, m in zip(ws, _SHINGLE_MUL, strict=False))
+        out[offsets[r]] = mix(np.array([(h & (1 << 64) - 1) ^ 0xA5A5A5A5A5A5A5A5], dtype=np.uint64))[0]
     return out, offsets
 
 

@@ -9,8 +9,8 @@ piece, so the replay of a run gives each piece the ids that the replay of the
 whole corpus would, and a run is as large as memory is meant to be
 (``RUN_CHARS``), however large the corpus is.
 
-A worker keeps the encodings of up to ``KNOWN_PIECES`` pieces and forgets all
-when more come; that bounds memory and changes no result.  Very long texts
+A worker keeps the encodings of about ``KNOWN_PIECES`` pieces, those seen last;
+that bounds memory and changes no result.  Very long texts
 are read match by match.
 
 Defined results: a null text is empty and has no ids; repeated rows are
@@ -20,10 +20,12 @@ encoded each; columns besides id and text play no part.
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 import heapq
 from collections.abc import Iterable, Iterator
 from itertools import islice
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 RUN_CHARS = 1 << 21
-KNOWN_PIECES = 400_000
+KNOWN_PIECES = 700_000
 LONG_CHARS = 1 << 20
 
 
@@ -164,6 +166,30 @@ def replay_merges(pieces: list[bytes], table: MergeTable) -> list[list[int]]:
     return out
 
 
+class PieceCache:
+    """What is known of pieces, in two generations.
+
+    When the young generation is full it becomes the old one, and the old one
+    goes; a piece of the old one that is seen again is young again.  So common
+    pieces stay, and the number of pieces is bounded.
+    """
+
+    def __init__(self, known: int) -> None:
+        self.half = max(1, known // 2)
+        self.young: dict[str, Any] = {}
+        self.old: dict[str, Any] = {}
+
+    def missing(self, pieces: set[str]) -> list[str]:
+        """The pieces that are not known; the others are young from now on."""
+        if len(self.young) > self.half:
+            self.young, self.old = {}, self.young
+        absent = pieces - self.young.keys()
+        known = absent & self.old.keys()
+        for p in known:
+            self.young[p] = self.old[p]
+        return list(absent - known)
+
+
 class ByteBPE:
     """Encodes and decodes texts by a rank file and a pattern."""
 
@@ -172,20 +198,16 @@ class ByteBPE:
         self.tokens = {rank: token for token, rank in self.merges.ranks.items()}
         self.digits = {rank: str(rank) for rank in self.tokens}
         self.find = regex.compile(pattern)
-        self.known = known
-        self.table: dict[str, tuple[list[int], str, bytes]] = {}
+        self.ids_of = PieceCache(known)
+        self.digest_of = PieceCache(known)
 
-    def _learn(self, run: list[tuple[int, list[str], bool]]) -> None:
-        """Encode the pieces of the run that are not known: ids, ids as text, decoded bytes."""
+    def _new(self, cache: PieceCache, run: list[tuple[int, list[str], bool]]) -> Iterator[tuple[str, list[int]]]:
+        """The pieces of the run that the cache lacks, and their ids."""
         seen: set[str] = set()
         for _, pieces, _ in run:
             seen.update(pieces)
-        new = list(seen - self.table.keys())
-        if len(self.table) + len(new) > self.known:
-            self.table = {p: self.table[p] for p in seen if p in self.table}
-        digits, table = self.digits, self.table
-        for piece, ids in zip(new, replay_merges([p.encode() for p in new], self.merges), strict=True):
-            table[piece] = (ids, " ".join([digits[i] for i in ids]), self.decode(ids))
+        new = cache.missing(seen)
+        return zip(new, replay_merges([p.encode() for p in new], self.merges), strict=True)
 
     def runs(self, texts: list[str]) -> Iterator[list[tuple[int, list[str], bool]]]:
         """Runs of (text number, pieces, whether the text ends here)."""
@@ -210,10 +232,11 @@ class ByteBPE:
         """Ids of each text."""
         out: list[list[int]] = [[] for _ in texts]
         for run in self.runs(texts):
-            self._learn(run)
+            for piece, ids in self._new(self.ids_of, run):
+                self.ids_of.young[piece] = ids
             for k, pieces, _ in run:
                 for p in pieces:
-                    out[k] += self.table[p][0]
+                    out[k] += self.ids_of.young[p]
         return out
 
     def decode(self, ids: Iterable[int]) -> bytes:
@@ -223,15 +246,17 @@ class ByteBPE:
     def digests(self, texts: list[str]) -> Iterator[tuple[int, str, str]]:
         """Number of ids, SHA-256 of the ids and SHA-256 of the decoded bytes, text by text."""
         count, ids_sha, bytes_sha = 0, hashlib.sha256(), hashlib.sha256()
+        digits = self.digits
         for run in self.runs(texts):
-            self._learn(run)
-            table = self.table
+            for piece, ids in self._new(self.digest_of, run):
+                self.digest_of.young[piece] = (len(ids), " ".join([digits[i] for i in ids]), self.decode(ids))
+            table = self.digest_of.young
             for _, pieces, done in run:
                 if pieces:
-                    found = [table[p] for p in pieces]
-                    ids_sha.update(((" " if count else "") + " ".join([x[1] for x in found])).encode())
-                    count += sum([len(x[0]) for x in found])
-                    bytes_sha.update(b"".join([x[2] for x in found]))
+                    numbers, texts_of_ids, back = zip(*map(table.__getitem__, pieces), strict=True)
+                    ids_sha.update(((" " if count else "") + " ".join(texts_of_ids)).encode())
+                    bytes_sha.update(b"".join(back))
+                    count += sum(numbers)
                 if done:
                     yield count, ids_sha.hexdigest(), bytes_sha.hexdigest()
                     count, ids_sha, bytes_sha = 0, hashlib.sha256(), hashlib.sha256()
@@ -241,6 +266,7 @@ _LOADED: dict[tuple[str, str], ByteBPE] = {}
 
 
 def _coder(path: str, pattern: str) -> ByteBPE:
+    gc.disable()  # the worker's tables hold no cycles, and walking them costs more than all else
     if (path, pattern) not in _LOADED:
         _LOADED[path, pattern] = ByteBPE(path, pattern)
     return _LOADED[path, pattern]

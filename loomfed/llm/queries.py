@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -13,6 +14,35 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weights are the sources' numbers of documents to the power 0.5; as many documents as there are."""
+    from .poisson_mix import poisson_mix
+
+    return poisson_mix(_table(spark, sf_dir, "documents"), copy_col="copy").select("doc_id", "copy", "source", F.length("text").alias("n_text"))
+
+
+def op2_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat_rotation import rotate
+
+    own = rotate(_table(spark, sf_dir, "conversations"))
+    return own.withColumn("mask", F.array_join(F.transform("mask", lambda m: F.concat_ws("-", m["start"], m["end"])), ","))
+
+
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ngram_join import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language_id import fold_of, predict, train
+
+    docs = _table(spark, sf_dir, "documents")
+    held_out = fold_of("doc_id", 4) == 2
+    model = train(docs.filter(~held_out))
+    return predict(docs, model).withColumn("held_out", held_out)
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -30,6 +60,13 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op10_vp_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .vp_tree import VPIndex
+
+    vectors = _table(spark, sf_dir, "embeddings")
+    return VPIndex(vectors).search(vectors.filter(F.col("vec_id") % 100 == 0))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .exact_dedup import exact_dedup
 
@@ -49,8 +86,13 @@ FROM own WINDOW same AS (PARTITION BY body)
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_poisson_mix": op1_poisson_mix,
+        "op2_chat_rotation": op2_chat_rotation,
+        "op3_ngram_join": op3_ngram_join,
+        "op4_language_id": op4_language_id,
         "op5_byte_bpe": op5_byte_bpe,
         "op7_token_counts": op7_token_counts,
+        "op10_vp_tree": op10_vp_tree,
         "op9_exact_dedup": op9_exact_dedup,
     }
 
