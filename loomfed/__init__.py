@@ -1,0 +1 @@
+"""Spark-native operators for tensors, federated aggregation, vector search and event coordination."""
