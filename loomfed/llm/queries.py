@@ -52,6 +52,12 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_digests(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op6_passage_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .passage_chains import shared_passages
+
+    return shared_passages(_table(spark, sf_dir, "documents"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -67,6 +73,16 @@ def op10_vp_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return VPIndex(vectors).search(vectors.filter(F.col("vec_id") % 100 == 0))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language_id import fold_of
+    from .toxicity import score, train
+
+    docs = _table(spark, sf_dir, "documents")
+    held_out = fold_of("doc_id", 5) == 0
+    model = train(docs.filter(~held_out), _table(spark, sf_dir, "labels").filter(~held_out))
+    return score(docs, model).withColumn("held_out", held_out)
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .exact_dedup import exact_dedup
 
@@ -91,9 +107,11 @@ def queries() -> dict[str, Query]:
         "op3_ngram_join": op3_ngram_join,
         "op4_language_id": op4_language_id,
         "op5_byte_bpe": op5_byte_bpe,
+        "op6_passage_chains": op6_passage_chains,
         "op7_token_counts": op7_token_counts,
-        "op10_vp_tree": op10_vp_tree,
+        "op8_toxicity": op8_toxicity,
         "op9_exact_dedup": op9_exact_dedup,
+        "op10_vp_tree": op10_vp_tree,
     }
 
 
