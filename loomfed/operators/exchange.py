@@ -34,9 +34,9 @@ def collect_fills(fields: Sequence[tuple[str, Column, bool]]) -> Column:
     """One fill an input: ``dest, payload, trigger_only, type_hash``; a trigger has no payload."""
     def one(dest: str, value: Column, trigger: bool) -> Column:
         payload = F.lit(None).cast("binary") if trigger else F.encode(value.cast("string"), "UTF-8")
-        return F.struct(F.lit(dest).alias("dest"), payload.alias("payload"), F.lit(trigger).alias("trigger_only"), F.xxhash64(F.typeof(value)).alias("type_hash"))
+        return F.struct(F.lit(dest).alias("dest"), payload.alias("payload"), F.lit(bool(trigger)).alias("trigger_only"), F.xxhash64(F.typeof(value)).alias("type_hash"))
 
-    return F.array(*[one(*f) for f in fields])
+    return F.array(*[one(dest, value, trigger) for dest, value, trigger in fields])
 
 
 def deliver(envelopes: DataFrame, expected: DataFrame) -> tuple[DataFrame, DataFrame]:

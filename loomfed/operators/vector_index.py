@@ -39,7 +39,7 @@ def search(index: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id",
     shard's best ``k`` are taken before the global ranking.
     """
     stored = index.select(F.col(id_col).alias("vec_id"), F.col("embedding").alias("_x"), F.pmod(F.xxhash64(id_col), F.lit(shards)).alias("_shard"))
-    asked = queries.select(F.col(query_col).alias("query_id"), F.col("embedding").alias("_q"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).cast("long").alias("_shard"))
+    asked = queries.select(F.col(query_col).alias("query_id"), F.col("embedding").alias("_q"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("_shard"))
     if queries.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES:
         asked = F.broadcast(asked)
     pairs = stored.join(asked, "_shard").select("query_id", "_shard", "vec_id", distance(F.col("_x"), F.col("_q")).alias("distance"))
