@@ -31,10 +31,12 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .array_sum import id_sieve, sieve_places
 from .arrowtext import distinct_sorted, hash_spans, mix, shingle_hashes, text_slices, word_spans
 from .components import connected_components
 from .shared import discard, materialise
@@ -91,55 +93,79 @@ def _prefix_length(n: np.ndarray, percent: int) -> np.ndarray:
     return np.where(n > 0, n - (percent * n + 99) // 100 + 1, 0)
 
 
-def _signatures(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int, heavy: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """``id, n, d1, d2`` (digest of the set), ``p1, p2`` (digest of the prefix) and ``prefix``."""
-    known = docs.sparkSession.sparkContext.broadcast(heavy)
+def _prefixes(values: np.ndarray, cuts: np.ndarray, percent: int, heavy: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The prefix of each set in the global order, and offsets."""
+    heavy_hash, heavy_count = heavy
+    weight = np.zeros(len(values), dtype=np.int64)
+    if len(heavy_hash):
+        at = np.searchsorted(heavy_hash, values)
+        at[at == len(heavy_hash)] = 0
+        weight = np.where(heavy_hash[at] == values, heavy_count[at], 0)
+    n = np.diff(cuts)
+    length = _prefix_length(n, percent)
+    prefix = [np.empty(0, dtype=np.uint64)]
+    for a, b, p in zip(cuts[:-1].tolist(), cuts[1:].tolist(), length.tolist(), strict=True):
+        own = values[a:b]
+        if weight[a:b].any():
+            own = own[np.argsort(weight[a:b], kind="stable")]
+        prefix.append(own[:p])
+    return np.concatenate(prefix), np.concatenate([[0], np.cumsum(length)]).astype(np.int64)
+
+
+def _row_sums(values: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    upto = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(values, dtype=np.uint64)])
+    return (upto[cuts[1:]] - upto[cuts[:-1]]).view(np.int64)
+
+
+def _prefix_digest(flat: np.ndarray, ends: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """One number for each prefix and size."""
+    rank = np.arange(len(flat), dtype=np.uint64) - np.repeat(ends[:-1], np.diff(ends)).astype(np.uint64)
+    return _row_sums(mix(flat + rank * np.uint64(0x9E3779B97F4A7C15)), ends) ^ mix(n.astype(np.uint64)).view(np.int64)
+
+
+def _signatures(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int, heavy: Broadcast) -> DataFrame:
+    """``id, n``, ``d1, d2`` (digest of the set) and ``p1`` (digest of the prefix) of each document."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        heavy_hash, heavy_count = known.value
         for batch in batches:
-            ids = batch.column(0)
             for base, values, cuts in _sets(batch.column(1), width):
                 n = np.diff(cuts)
-                weight = np.zeros(len(values), dtype=np.int64)
-                if len(heavy_hash):
-                    at = np.searchsorted(heavy_hash, values)
-                    at[at == len(heavy_hash)] = 0
-                    weight = np.where(heavy_hash[at] == values, heavy_count[at], 0)
-                second = mix(values ^ np.uint64(0x5851F42D4C957F2D))
-                upto1, upto2 = (np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(x, dtype=np.uint64)]) for x in (mix(values), second))
-                d1, d2 = upto1[cuts[1:]] - upto1[cuts[:-1]], upto2[cuts[1:]] - upto2[cuts[:-1]]
-                length = _prefix_length(n, percent)
-                prefix = []
-                for a, b, p in zip(cuts[:-1].tolist(), cuts[1:].tolist(), length.tolist(), strict=True):
-                    own = values[a:b]
-                    if weight[a:b].any():
-                        own = own[np.argsort(weight[a:b], kind="stable")]
-                    prefix.append(own[:p])
-                flat = np.concatenate(prefix) if prefix else np.empty(0, dtype=np.uint64)
-                ends = np.concatenate([[0], np.cumsum(length)]).astype(np.int64)
-                rank = np.arange(len(flat), dtype=np.uint64) - np.repeat(ends[:-1], length).astype(np.uint64)
-                keyed = mix(flat + rank * np.uint64(0x9E3779B97F4A7C15))
-                q1, q2 = (np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(x, dtype=np.uint64)]) for x in (keyed, mix(keyed)))
-                p1, p2 = q1[ends[1:]] - q1[ends[:-1]], q2[ends[1:]] - q2[ends[:-1]]
-                lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat.view(np.int64)))
-                longs = [pa.array(x.view(np.int64)) for x in (d1, d2, p1, p2)]
-                yield pa.RecordBatch.from_arrays([ids.slice(base, len(n)), pa.array(n.astype(np.int64)), *longs, lists], ["id", "n", "d1", "d2", "p1", "p2", "prefix"])
+                d1, d2 = _row_sums(mix(values), cuts), _row_sums(mix(values ^ np.uint64(0x5851F42D4C957F2D)), cuts)
+                p1 = _prefix_digest(*_prefixes(values, cuts, percent, heavy.value), n)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(base, len(n)), pa.array(n.astype(np.int32)), *map(pa.array, (d1, d2, p1))], ["id", "n", "d1", "d2", "p1"])
 
     narrow = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col))
-    return narrow.mapInArrow(run, "id long, n long, d1 long, d2 long, p1 long, p2 long, prefix array<long>")
+    return narrow.mapInArrow(run, "id long, n int, d1 long, d2 long, p1 long")
+
+
+def _postings(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int, heavy: Broadcast) -> DataFrame:
+    """``token, p1, at``: each shingle of a prefix, its group, and its size and place as ``n << 32 | i``."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, values, cuts in _sets(batch.column(0), width):
+                flat, ends = _prefixes(values, cuts, percent, heavy.value)
+                length = np.diff(ends)
+                place = np.repeat(np.diff(cuts) << 32, length) + np.arange(len(flat)) - np.repeat(ends[:-1], length)
+                yield pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64)), pa.array(np.repeat(_prefix_digest(flat, ends, np.diff(cuts)), length)), pa.array(place)], ["token", "p1", "at"])
+
+    return docs.filter(F.col(id_col).isNotNull()).select(text_col).mapInArrow(run, "token long, p1 long, at long")
 
 
-def document_sets(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """``id, tokens array<long>``: the whole set of each document."""
+def document_sets(docs: DataFrame, id_col: str, text_col: str, width: int, sieve: Broadcast | None = None) -> DataFrame:
+    """``id, tokens array<long>``: the whole set of each document that the sieve lets pass."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            if sieve is not None:
+                ids = batch.column(0).to_numpy(zero_copy_only=False)
+                batch = batch.filter(pa.array(sieve.value[sieve_places(ids, len(sieve.value))]))
             for base, values, cuts in _sets(batch.column(1), width):
                 lists = pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(values.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(base, len(cuts) - 1), lists], ["id", "tokens"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col)).mapInArrow(run, "id long, tokens array<long>")
+    own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col)).filter("id is not null")
+    return own.mapInArrow(run, "id long, tokens array<long>")
 
 
 def _may_link(n1: Column, i1: Column, n2: Column, i2: Column, percent: int) -> Column:
@@ -157,9 +183,9 @@ class NgramJoin:
 
     def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, heavy_terms: int = HEAVY_TERMS) -> None:
         self.docs, self.id_col, self.text_col, self.width, self.percent = docs, id_col, text_col, width, percent
-        heavy = heavy_shingles(docs, text_col, width, heavy_terms)
         self.spark, self.paths = docs.sparkSession, []
-        self.signatures = self._keep(_signatures(docs, id_col, text_col, width, percent, heavy), "signatures")
+        self.heavy = self.spark.sparkContext.broadcast(heavy_shingles(docs, text_col, width, heavy_terms))
+        self.signatures = self._keep(_signatures(docs, id_col, text_col, width, percent, self.heavy), "signatures")
 
     def _keep(self, df: DataFrame, name: str) -> DataFrame:
         kept, path = materialise(df, name)
@@ -169,13 +195,13 @@ class NgramJoin:
     def _verify(self, pairs: DataFrame) -> DataFrame:
         """Pairs of sets ``a < b`` that link, on their whole sets."""
         wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-        narrow = self.docs.select(F.col(self.id_col).cast("long").alias("id"), F.col(self.text_col).alias("text"))
-        sets = self._keep(document_sets(narrow.join(wanted, "id", "left_semi"), "id", "text", self.width), "sets")
+        sieve = self.spark.sparkContext.broadcast(id_sieve(wanted, "id", 2 * pairs.count()))
+        # both joins read one shuffle of the sets, by id
+        sets = document_sets(self.docs, self.id_col, self.text_col, self.width, sieve).repartition("id")
         left, right = sets.select(F.col("id").alias("a"), F.col("tokens").alias("x")), sets.select(F.col("id").alias("b"), F.col("tokens").alias("y"))
         both = pairs.join(right, "b").join(left, "a")
-        common = F.size(F.array_intersect("x", "y"))
-        union = F.size("x") + F.size("y") - common
-        return both.withColumn("_common", common).filter(100 * F.col("_common") >= self.percent * (F.size("x") + F.size("y") - F.col("_common"))).select("a", "b")
+        both = both.withColumn("_common", F.size(F.array_intersect("x", "y")))
+        return both.filter(100 * F.col("_common") >= self.percent * (F.size("x") + F.size("y") - F.col("_common"))).select("a", "b").distinct()
 
     def links(self) -> tuple[DataFrame, DataFrame]:
         """Verified links ``a, b`` between classes, and ``d1, d2, n, cls``: the class of each distinct set.
@@ -185,28 +211,32 @@ class NgramJoin:
         component are left out.
         """
         sig = self.signatures.filter("n > 0 and id is not null")
-        classes = self._keep(sig.groupBy("d1", "d2", "n", "p1", "p2").agg(F.min("id").alias("cls")), "classes")
-        grouped = classes.groupBy("n", "p1", "p2").agg(F.min("cls").alias("grp"), F.count(F.lit(1)).alias("m"))
-        members = classes.join(grouped, ["n", "p1", "p2"]).select("grp", "m", "cls")
+        classes = self._keep(sig.groupBy("d1", "d2", "n", "p1").agg(F.min("id").alias("cls")), "classes")
+        grouped = classes.groupBy("n", "p1").agg(F.min("cls").alias("grp"), F.count(F.lit(1)).alias("m"))
+        members = self._keep(classes.join(grouped, ["n", "p1"]).select("n", "p1", "grp", "m", "cls"), "groups")
+        groups = members.filter("cls = grp").select("n", "p1", "grp")
         many = members.filter("m > 1").select("grp", "cls")
-        heads = grouped.select(F.col("grp").alias("id"), "n", "p1", "p2")
-        posted = sig.join(heads, ["id", "n", "p1", "p2"], "left_semi").dropDuplicates(["id", "n", "p1", "p2"]).select(F.col("id").alias("grp"), "n", F.posexplode("prefix").alias("i", "token"))
+        posted = _postings(self.docs, self.id_col, self.text_col, self.width, self.percent, self.heavy)
         by_token = Window.partitionBy("token")
-        star = F.min(F.struct("grp", "n", "i")).over(by_token)
-        lists = posted.withColumn("size", F.count(F.lit(1)).over(by_token)).withColumn("head", star).filter("size > 1").drop("size")
-        lists = self._keep(lists, "postings")
+        lists = posted.withColumn("low", F.min("p1").over(by_token)).withColumn("high", F.max("p1").over(by_token)).filter("low < high").select("token", "p1", "at").distinct()
+        lists = lists.withColumn("head", F.min(F.struct("p1", "at")).over(by_token))
+        n, i = F.shiftright("at", 32).cast("int"), F.col("at").bitwiseAND(F.lit((1 << 32) - 1)).cast("int")
+        head_n, head_i = F.shiftright("head.at", 32).cast("int"), F.col("head.at").bitwiseAND(F.lit((1 << 32) - 1)).cast("int")
+        cut = lists.select("token", "p1", n.alias("n"), i.alias("i"), F.col("head.p1").alias("hp"), head_n.alias("hn"), head_i.alias("hi"))
+        lists = self._keep(cut.join(groups, ["n", "p1"]), "postings")
 
         # stars: each group with the head of its list, and each class with the head of its group
-        fits = _may_link(F.col("n"), F.col("i"), F.col("head.n"), F.col("head.i"), self.percent)
-        stars = lists.filter((F.col("grp") != F.col("head.grp")) & fits).select(F.col("head.grp").alias("g"), F.col("grp").alias("h")).distinct()
+        fits = _may_link(F.col("n"), F.col("i"), F.col("hn"), F.col("hi"), self.percent)
+        met = lists.filter(fits).select("grp", "hn", "hp").distinct()
+        heads = groups.select(F.col("n").alias("hn"), F.col("p1").alias("hp"), F.col("grp").alias("g"))
+        stars = met.join(heads, ["hn", "hp"]).filter("g <> grp").select("g", F.col("grp").alias("h"))
         inside = many.filter("cls > grp").select(F.col("grp").alias("a"), F.col("cls").alias("b"))
         tested = self._keep(self._expand(stars, many).unionByName(inside).distinct(), "stars")
         first = self._keep(self._verify(tested).unionByName(self._repeated_ids(sig, classes)), "links")
         label = connected_components(first, "a", "b")
 
         # the rest: pairs of one list or group that lie in different components
-        full = many.unionByName(members.filter("m = 1").select("grp", "cls"))
-        labelled = full.join(label.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+        labelled = members.select("grp", "cls").join(label.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
         of_group = labelled.groupBy("grp").agg(F.min("component").alias("low"), F.max("component").alias("high"))
         split = lists.select("token", "grp", "n", "i").join(of_group, "grp")
         mixed = split.groupBy("token").agg(F.min("low").alias("l"), F.max("high").alias("h")).filter("l < h").select("token")
@@ -220,7 +250,10 @@ class NgramJoin:
         within = labelled.join(many.select("grp").distinct(), "grp", "left_semi").select("grp", F.col("cls"), "component")
         pairs_in = within.alias("p").join(within.alias("q"), "grp").filter("p.cls < q.cls and p.component != q.component").select(F.col("p.cls").alias("a"), F.col("q.cls").alias("b"))
         rest = self._expand(met, many).unionByName(pairs_in).distinct().join(tested, ["a", "b"], "left_anti")
-        second = self._keep(self._verify(self._keep(rest, "rest")), "links")
+        rest = self._keep(rest, "rest")
+        if rest.isEmpty():
+            return first, classes
+        second = self._keep(self._verify(rest), "links")
         return first.unionByName(second), classes
 
     @staticmethod
