@@ -458,7 +458,7 @@ def collect_fills(spark: SparkSession, sf_dir: str) -> DataFrame:
     expected = spark.range(1).select(F.explode(F.array(F.lit("balance"), F.lit("go"))).alias("dest"), F.xxhash64(F.lit("string")).alias("type_hash"))
     ok, bad = exchange.deliver(envelopes, expected)
     both = ok.withColumn("reason", F.lit(None).cast("string")).unionByName(bad)
-    return both.select("c_custkey", "dest", F.decode("payload", F.lit("UTF-8")).alias("payload"), "trigger_only", "reason")
+    return both.select("c_custkey", "dest", F.decode("payload", "UTF-8").alias("payload"), "trigger_only", "reason")
 
 
 @query("bundle_unbundle", "SELECT c_custkey, c_name, c_acctbal AS balance, 'v1' AS version FROM customer")
