@@ -9,9 +9,9 @@ hashes.  Two documents link when ``100 * |A and B| >= percent * |A or B|``.
 2. **Groups.**  Two sets that link share a shingle of their prefixes, the
    first ``n - ceil(t n) + 1`` in that order.  Documents with the same prefix
    and size collapse into one group, and the prefix is posted once a group.
-3. **Stars.**  In each posting list, every group is paired with the smallest
-   group of the list, so a list of many near copies gives a linear number of
-   pairs.  Pairs pass length and position filters, are expanded to the
+3. **Stars.**  In each posting list, every group is paired with one head of the
+   list, the group that shares most of its prefix, so a list of many near copies
+   gives a linear number of pairs.  Pairs pass length and position filters, are expanded to the
    distinct sets of the groups, and verified on whole sets.
 4. **The rest.**  Components of the verified links are found, and the lists
    that still hold more than one component are joined with themselves, under
@@ -43,6 +43,7 @@ from .shared import discard, materialise
 
 HEAVY_TERMS = 1 << 18
 HEAVY_LOCAL = 4
+FIRST_TOKENS = 64
 
 
 def _sets(column: pa.Array, width: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -168,13 +169,13 @@ def document_sets(docs: DataFrame, id_col: str, text_col: str, width: int, sieve
     return own.mapInArrow(run, "id long, tokens array<long>")
 
 
-def _may_link(n1: Column, i1: Column, n2: Column, i2: Column, percent: int) -> Column:
-    """Length and position filters of two sets that share the shingles at positions ``i1`` and ``i2``.
+def _may_link(n1: Column, i1: Column, r1: Column, n2: Column, i2: Column, r2: Column, percent: int) -> Column:
+    """Length and position filters of two sets that share the shingle at places ``i1`` and ``i2``.
 
-    What they share lies at, before or after those positions: at most
-    ``min(i1, i2) + 1 + min(n1 - i1, n2 - i2) - 1``.
+    Before those places they can share no more than the shingles that stand in
+    any other set at all (``r1`` and ``r2``), from there on no more than what is left.
     """
-    most = F.least(i1, i2) + F.least(n1 - i1, n2 - i2)
+    most = F.least(r1, r2) + F.least(n1 - i1, n2 - i2)
     return (100 * F.least(n1, n2) >= percent * F.greatest(n1, n2)) & ((100 + percent) * most >= percent * (n1 + n2))
 
 
@@ -218,18 +219,18 @@ class NgramJoin:
         many = members.filter("m > 1").select("grp", "cls")
         posted = _postings(self.docs, self.id_col, self.text_col, self.width, self.percent, self.heavy)
         by_token = Window.partitionBy("token")
-        lists = posted.withColumn("low", F.min("p1").over(by_token)).withColumn("high", F.max("p1").over(by_token)).filter("low < high").select("token", "p1", "at").distinct()
-        lists = lists.withColumn("head", F.min(F.struct("p1", "at")).over(by_token))
+        shared = posted.withColumn("low", F.min("p1").over(by_token)).withColumn("high", F.max("p1").over(by_token)).filter("low < high").select("token", "p1", "at").distinct()
         n, i = F.shiftright("at", 32).cast("int"), F.col("at").bitwiseAND(F.lit((1 << 32) - 1)).cast("int")
-        head_n, head_i = F.shiftright("head.at", 32).cast("int"), F.col("head.at").bitwiseAND(F.lit((1 << 32) - 1)).cast("int")
-        cut = lists.select("token", "p1", n.alias("n"), i.alias("i"), F.col("head.p1").alias("hp"), head_n.alias("hn"), head_i.alias("hi"))
-        lists = self._keep(cut.join(groups, ["n", "p1"]), "postings")
+        of_group = Window.partitionBy("n", "p1")
+        placed = shared.select("token", "p1", n.alias("n"), i.alias("i")).join(groups, ["n", "p1"])
+        placed = placed.withColumn("r", F.row_number().over(of_group.orderBy("i")) - 1).withColumn("k", F.count(F.lit(1)).over(of_group))
+        # the head of a list: the group that shares most of its prefix, so that of a family its origin
+        head = F.min(F.struct((-F.col("k")).alias("k"), "grp", "n", "i", "r")).over(by_token)
+        lists = self._keep(placed.withColumn("head", head).drop("p1", "k"), "postings")
 
         # stars: each group with the head of its list, and each class with the head of its group
-        fits = _may_link(F.col("n"), F.col("i"), F.col("hn"), F.col("hi"), self.percent)
-        met = lists.filter(fits).select("grp", "hn", "hp").distinct()
-        heads = groups.select(F.col("n").alias("hn"), F.col("p1").alias("hp"), F.col("grp").alias("g"))
-        stars = met.join(heads, ["hn", "hp"]).filter("g <> grp").select("g", F.col("grp").alias("h"))
+        sides = [F.col(c) for c in ("n", "i", "r", "head.n", "head.i", "head.r")]
+        stars = lists.filter((F.col("grp") != F.col("head.grp")) & _may_link(*sides, self.percent)).select(F.col("head.grp").alias("g"), F.col("grp").alias("h")).distinct()
         inside = many.filter("cls > grp").select(F.col("grp").alias("a"), F.col("cls").alias("b"))
         tested = self._keep(self._expand(stars, many).unionByName(inside).distinct(), "stars")
         first = self._keep(self._verify(tested).unionByName(self._repeated_ids(sig, classes)), "links")
@@ -237,16 +238,19 @@ class NgramJoin:
 
         # the rest: pairs of one list or group that lie in different components
         labelled = members.select("grp", "cls").join(label.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
-        of_group = labelled.groupBy("grp").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-        split = lists.select("token", "grp", "n", "i").join(of_group, "grp")
+        spans = labelled.groupBy("grp").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+        split = lists.select("token", "grp", "n", "i", "r").join(spans, "grp")
         mixed = split.groupBy("token").agg(F.min("low").alias("l"), F.max("high").alias("h")).filter("l < h").select("token")
-        left = self._keep(split.join(mixed, "token", "left_semi"), "mixed")
-        x = left.select("token", *[F.col(c).alias(f"{c}1") for c in ("grp", "n", "i", "low", "high")])
-        y = left.select("token", *[F.col(c).alias(f"{c}2") for c in ("grp", "n", "i", "low", "high")])
+        first_tokens = lists.groupBy("grp").agg(F.slice(F.array_sort(F.collect_list("token")), 1, FIRST_TOKENS).alias("first"))
+        left = self._keep(split.join(mixed, "token", "left_semi").join(first_tokens, "grp"), "mixed")
+        names = ("grp", "n", "i", "r", "low", "high", "first")
+        x, y = (left.select(F.col("token").alias(f"token{k}"), *[F.col(c).alias(f"{c}{k}") for c in names]) for k in (1, 2))
         apart = (F.col("low1") != F.col("low2")) | (F.col("high1") != F.col("high2")) | (F.col("low1") != F.col("high1"))
         ordered = (F.col("n1") < F.col("n2")) | ((F.col("n1") == F.col("n2")) & (F.col("grp1") < F.col("grp2")))
-        fits = _may_link(F.col("n1"), F.col("i1"), F.col("n2"), F.col("i2"), self.percent)
-        met = x.join(y, "token").filter(ordered & apart & fits).select(F.col("grp1").alias("g"), F.col("grp2").alias("h")).distinct()
+        fits = _may_link(*[F.col(f"{c}{k}") for k in (1, 2) for c in ("n", "i", "r")], self.percent)
+        # a pair that shares several shingles comes from the list of the least one (if both have it among their first)
+        least = F.coalesce(F.array_min(F.array_intersect("first1", "first2")) >= F.col("token1"), F.lit(True))
+        met = x.join(y, (F.col("token1") == F.col("token2")) & ordered & apart & fits & least).select(F.col("grp1").alias("g"), F.col("grp2").alias("h")).distinct()
         within = labelled.join(many.select("grp").distinct(), "grp", "left_semi").select("grp", F.col("cls"), "component")
         pairs_in = within.alias("p").join(within.alias("q"), "grp").filter("p.cls < q.cls and p.component != q.component").select(F.col("p.cls").alias("a"), F.col("q.cls").alias("b"))
         rest = self._expand(met, many).unionByName(pairs_in).distinct().join(tested, ["a", "b"], "left_anti")
