@@ -199,9 +199,9 @@ def train(
     languages = sorted({r["lang"] for r in got})
     samples = []
     for r in got:
-        idx, n = np.frombuffer(r["idx"], dtype=np.int32).astype(np.int64), np.frombuffer(r["n"], dtype=np.int32)
+        idx, n = np.frombuffer(r["idx"], dtype=np.int32), np.frombuffer(r["n"], dtype=np.int32)
         if len(idx):
-            val = n * idf[idx]
+            val = (n * idf[idx]).astype(np.float32)
             samples.append((idx, val / np.sqrt((val**2).sum()), languages.index(r["lang"])))
     if not samples:
         return LanguageModel([], idf, np.zeros((buckets, 0)), np.zeros(0))

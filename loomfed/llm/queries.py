@@ -89,6 +89,52 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"))
 
 
+OP1_SQL = """
+WITH s AS (SELECT coalesce(source, chr(0) || 'null') AS s, count(*)::DOUBLE AS n FROM documents GROUP BY 1),
+r AS (SELECT s, pow(n, 0.5) / sum(pow(n, 0.5)) OVER () * sum(n) OVER () / n AS rate FROM s),
+p AS (SELECT s, k, exp(k * ln(rate) - rate - lgamma(k + 1)) AS p FROM r, range(120) t(k)),
+c AS (SELECT s, k, sum(p) OVER (PARTITION BY s ORDER BY k) AS cdf FROM p),
+t AS (SELECT s, list(cdf ORDER BY k) AS cdf FROM c GROUP BY s),
+d AS (SELECT doc_id, source, length(text) AS n_text, ('0x' || substr(md5('17|' || doc_id), 1, 13))::BIGINT / 4503599627370496.0 AS u, coalesce(source, chr(0) || 'null') AS s FROM documents),
+n AS (SELECT doc_id, source, n_text, len(list_filter(cdf, lambda x: x <= u)) AS n FROM d JOIN t ON d.s = t.s)
+SELECT doc_id, unnest(range(n))::INT AS copy, source, n_text::INT AS n_text FROM n
+"""
+
+OP2_SQL = """
+WITH t AS (
+  SELECT conv_id, turn // 512 AS part, turn, coalesce(role, 'unknown') AS who,
+         replace(replace(coalesce(text, ''), '<|im_start|>', '<im_start>'), '<|im_end|>', '<im_end>') AS said
+  FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
+sp AS (SELECT DISTINCT conv_id, part, who AS speaker FROM t WHERE who <> 'system'),
+v AS (
+  SELECT sp.conv_id, sp.part, speaker, turn, who, said,
+         '<|im_start|>' || CASE WHEN who = speaker THEN 'assistant' WHEN who = 'system' THEN 'system' ELSE 'user name=' || who END || chr(10) AS head
+  FROM sp JOIN t ON sp.conv_id = t.conv_id AND sp.part = t.part),
+e AS (
+  SELECT *, length(head) AS h, length(said) + 10 AS b,
+         sum(length(head) + length(said) + 11) OVER (PARTITION BY conv_id, part, speaker ORDER BY turn, who, said ROWS UNBOUNDED PRECEDING)::BIGINT AS stop
+  FROM v)
+SELECT conv_id, part, speaker, count(*)::INT AS n_turns, (count(*) FILTER (who = speaker))::INT AS n_own_turns,
+       string_agg(head || said || '<|im_end|>' || chr(10), '' ORDER BY turn, who, said) AS rendered,
+       string_agg((stop - 1 - b) || '-' || (stop - 1), ',' ORDER BY turn, who, said) FILTER (who = speaker) AS mask
+FROM e GROUP BY conv_id, part, speaker
+"""
+
+OP3_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+g AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(ws) >= 5 THEN list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))
+                                    WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS sh FROM w),
+s AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS x FROM g),
+l AS MATERIALIZED (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM s a JOIN s b ON a.x = b.x AND a.doc_id < b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+both_ways AS MATERIALIZED (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+reach(a, b) AS (SELECT a, b FROM both_ways UNION SELECT r.a, e.b FROM reach r JOIN both_ways e ON r.b = e.a)
+SELECT doc_id, len(sh)::INT AS n_shingles, least(doc_id, coalesce((SELECT min(b) FROM reach WHERE a = doc_id), doc_id)) AS component_id FROM g
+"""
+
 OP9_SQL = r"""
 WITH own AS (
   SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256,
@@ -116,4 +162,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_exact_dedup": OP9_SQL}
+    return {"op1_poisson_mix": OP1_SQL, "op2_chat_rotation": OP2_SQL, "op3_ngram_join": OP3_SQL, "op9_exact_dedup": OP9_SQL}
