@@ -29,42 +29,49 @@ def query(name: str, sql: str | None = None) -> Callable:
 # --- element-wise operators and activations over lineitem -------------------------------------------------
 
 KEY = ("l_orderkey", "l_linenumber")
-QTY, PRICE, DISC, TAX = (F.col(c) for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax"))
-UNIT = (QTY - F.lit(25.0)) / F.lit(10.0)
+
+
+class _Line:
+    """The columns that the element-wise queries use; made when a session is there."""
+
+    def __init__(self) -> None:
+        self.qty, self.price, self.disc, self.tax = (F.col(c) for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax"))
+        self.unit = (self.qty - F.lit(25.0)) / F.lit(10.0)
+
+
 UNIT_SQL = "((l_quantity - 25.0) / 10.0)"
-D0 = "(CASE WHEN l_discount = 0 THEN 0.0::DOUBLE ELSE l_discount END)"
 
 #: Name -> (expression, SQL, decimals or None for exact results)
-ELEMENTWISE: dict[str, tuple[Column, str, int | None]] = {
-    "add": (E.add(PRICE, QTY), "l_extendedprice + l_quantity", None),
-    "sub": (E.sub(PRICE, QTY), "l_extendedprice - l_quantity", None),
-    "mul": (E.mul(PRICE, TAX) + 0.0, "l_extendedprice * l_tax + 0.0", None),
-    "div": (E.div(QTY, E.abs(DISC)), "CASE WHEN l_discount = 0 THEN 'inf'::DOUBLE ELSE l_quantity / abs(l_discount) END", None),
-    "pow": (E.pow(DISC + 0.5, TAX + 1.5), "pow(l_discount + 0.5, l_tax + 1.5)", 9),
-    "neg": (E.neg(PRICE), "-l_extendedprice", None),
-    "abs": (E.abs(UNIT), f"abs({UNIT_SQL})", None),
-    "sqrt": (E.sqrt(PRICE), "sqrt(l_extendedprice)", None),
-    "exp": (E.exp(DISC), "exp(l_discount)", 9),
-    "log": (E.log(QTY - 1), "CASE WHEN l_quantity = 1 THEN '-inf'::DOUBLE ELSE ln(l_quantity - 1) END", 9),
-    "identity": (E.identity(PRICE), "l_extendedprice", None),
-    "equal": (E.equal(DISC + 0.0, TAX + 0.0), "(l_discount + 0.0 = l_tax + 0.0)::INT::DOUBLE", None),
-    "greater": (E.greater(DISC, TAX), "(l_discount > l_tax)::INT::DOUBLE", None),
-    "less": (E.less(DISC, TAX), "(l_discount < l_tax)::INT::DOUBLE", None),
-    "where": (E.where(E.greater(QTY, F.lit(25.0)), PRICE, E.neg(PRICE)), "CASE WHEN l_quantity > 25 THEN l_extendedprice ELSE -l_extendedprice END", None),
-    "relu": (E.relu(UNIT), f"greatest({UNIT_SQL}, 0.0)", None),
-    "sigmoid": (E.sigmoid(UNIT), f"1 / (1 + exp(-{UNIT_SQL}))", 9),
-    "tanh": (E.tanh(UNIT), f"(exp(2*{UNIT_SQL}) - 1) / (exp(2*{UNIT_SQL}) + 1)", 9),
-    "gelu": (E.gelu(UNIT), f"0.5*{UNIT_SQL}*(1 + (1 - 2/(exp(2*0.7978845608028654*({UNIT_SQL} + 0.044715*pow({UNIT_SQL}, 3))) + 1)))", 9),
-    "leaky_relu": (E.leaky_relu(UNIT), f"CASE WHEN {UNIT_SQL} >= 0 THEN {UNIT_SQL} ELSE 0.01 * {UNIT_SQL} END", None),
+ELEMENTWISE: dict[str, tuple[Callable[[_Line], Column], str, int | None]] = {
+    "add": (lambda t: E.add(t.price, t.qty), "l_extendedprice + l_quantity", None),
+    "sub": (lambda t: E.sub(t.price, t.qty), "l_extendedprice - l_quantity", None),
+    "mul": (lambda t: E.mul(t.price, t.tax) + 0.0, "l_extendedprice * l_tax + 0.0", None),
+    "div": (lambda t: E.div(t.qty, E.abs(t.disc)), "CASE WHEN l_discount = 0 THEN 'inf'::DOUBLE ELSE l_quantity / abs(l_discount) END", None),
+    "pow": (lambda t: E.pow(t.disc + 0.5, t.tax + 1.5), "pow(l_discount + 0.5, l_tax + 1.5)", 9),
+    "neg": (lambda t: E.neg(t.price), "-l_extendedprice", None),
+    "abs": (lambda t: E.abs(t.unit), f"abs({UNIT_SQL})", None),
+    "sqrt": (lambda t: E.sqrt(t.price), "sqrt(l_extendedprice)", None),
+    "exp": (lambda t: E.exp(t.disc), "exp(l_discount)", 9),
+    "log": (lambda t: E.log(t.qty - 1), "CASE WHEN l_quantity = 1 THEN '-inf'::DOUBLE ELSE ln(l_quantity - 1) END", 9),
+    "identity": (lambda t: E.identity(t.price), "l_extendedprice", None),
+    "equal": (lambda t: E.equal(t.disc + 0.0, t.tax + 0.0), "(l_discount + 0.0 = l_tax + 0.0)::INT::DOUBLE", None),
+    "greater": (lambda t: E.greater(t.disc, t.tax), "(l_discount > l_tax)::INT::DOUBLE", None),
+    "less": (lambda t: E.less(t.disc, t.tax), "(l_discount < l_tax)::INT::DOUBLE", None),
+    "where": (lambda t: E.where(E.greater(t.qty, F.lit(25.0)), t.price, E.neg(t.price)), "CASE WHEN l_quantity > 25 THEN l_extendedprice ELSE -l_extendedprice END", None),
+    "relu": (lambda t: E.relu(t.unit), f"greatest({UNIT_SQL}, 0.0)", None),
+    "sigmoid": (lambda t: E.sigmoid(t.unit), f"1 / (1 + exp(-{UNIT_SQL}))", 9),
+    "tanh": (lambda t: E.tanh(t.unit), f"(exp(2*{UNIT_SQL}) - 1) / (exp(2*{UNIT_SQL}) + 1)", 9),
+    "gelu": (lambda t: E.gelu(t.unit), f"0.5*{UNIT_SQL}*(1 + (1 - 2/(exp(2*0.7978845608028654*({UNIT_SQL} + 0.044715*pow({UNIT_SQL}, 3))) + 1)))", 9),
+    "leaky_relu": (lambda t: E.leaky_relu(t.unit), f"CASE WHEN {UNIT_SQL} >= 0 THEN {UNIT_SQL} ELSE 0.01 * {UNIT_SQL} END", None),
 }
 
 
-def _elementwise(name: str, expr: Column, sql: str, places: int | None) -> None:
-    out = expr if places is None else F.round(expr, places)
+def _elementwise(name: str, expr: Callable[[_Line], Column], sql: str, places: int | None) -> None:
     out_sql = f"({sql})" if places is None else f"round({sql}, {places})"
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return table(spark, sf_dir, "lineitem").select(*KEY, (out + F.lit(0.0)).alias("v"))
+        out = expr(_Line())
+        return table(spark, sf_dir, "lineitem").select(*KEY, ((out if places is None else F.round(out, places)) + F.lit(0.0)).alias("v"))
 
     QUERIES[name] = run
     SQL[name] = f"SELECT l_orderkey, l_linenumber, {out_sql} + 0.0 AS v FROM lineitem"

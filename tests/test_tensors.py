@@ -23,10 +23,8 @@ def same(got, want):
         assert (g is None and w is None) or (g is not None and w is not None and (math.isnan(g) and math.isnan(w) or g == pytest.approx(w))), (got, want)
 
 
-A, B = F.col("a"), F.col("b")
-
-
 def test_division_and_logarithm_follow_ieee(spark):
+    A, B = F.col("a"), F.col("b")  # noqa: N806
     same(column(spark, E.div(A, B), (1, 0), (-1, 0), (0, 0), (1, -0.0), (NAN, 0), (6, 3), (None, 0), (INF, 2)), [INF, -INF, NAN, -INF, NAN, 2, None, INF])
     same(column(spark, E.log(A), (0,), (-1,), (1,), (NAN,), (None,), (INF,)), [-INF, NAN, 0, NAN, None, INF])
     same(column(spark, E.sqrt(A), (-1,), (4,)), [NAN, 2])
@@ -34,6 +32,7 @@ def test_division_and_logarithm_follow_ieee(spark):
 
 
 def test_comparisons_with_nan_are_false(spark):
+    A, B = F.col("a"), F.col("b")  # noqa: N806
     pairs = [(1, 1), (NAN, NAN), (2, 1), (NAN, 1), (1, NAN), (None, 1)]
     same(column(spark, E.equal(A, B), *pairs), [1, 0, 0, 0, 0, None])
     same(column(spark, E.greater(A, B), *pairs), [0, 0, 1, 0, 0, None])
@@ -41,6 +40,7 @@ def test_comparisons_with_nan_are_false(spark):
 
 
 def test_activations(spark):
+    A, B = F.col("a"), F.col("b")  # noqa: N806
     xs = [(-2,), (0,), (3,), (NAN,), (None,)]
     same(column(spark, E.relu(A), *xs), [0, 0, 3, NAN, None])
     same(column(spark, E.leaky_relu(A), *xs), [-0.02, 0, 3, NAN, None])
@@ -50,6 +50,7 @@ def test_activations(spark):
 
 
 def test_arrays_are_aligned_broadcast_or_refused(spark):
+    A, B = F.col("a"), F.col("b")  # noqa: N806
     df = spark.createDataFrame([([1.0, 2.0], [3.0, 4.0], [10.0], [1.0, 2.0, 3.0])], "a array<double>, b array<double>, s array<double>, w array<double>")
     r = df.select(E.over_arrays(E.add, A, B), E.over_arrays(E.mul, A, F.col("s")), E.over_arrays(E.sub, F.col("s"), A), E.dot_arrays(A, B), E.softmax_array(A)).first()
     assert r[0] == [4, 6] and r[1] == [10, 20] and r[2] == [9, 8] and r[3] == 11 and sum(r[4]) == pytest.approx(1)
