@@ -43,7 +43,7 @@ from .shared import discard, materialise
 
 HEAVY_TERMS = 1 << 18
 HEAVY_LOCAL = 4
-FIRST_TOKENS = 64
+FIRST_TOKENS = 16
 
 
 def _sets(column: pa.Array, width: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -169,14 +169,21 @@ def document_sets(docs: DataFrame, id_col: str, text_col: str, width: int, sieve
     return own.mapInArrow(run, "id long, tokens array<long>")
 
 
-def _may_link(n1: Column, i1: Column, r1: Column, n2: Column, i2: Column, r2: Column, percent: int) -> Column:
-    """Length and position filters of two sets that share the shingle at places ``i1`` and ``i2``.
+def _may_link(one: tuple[Column, ...], two: tuple[Column, ...], percent: int) -> Column:
+    """Length, position and prefix filters of two sets that share a shingle of their prefixes.
 
-    Before those places they can share no more than the shingles that stand in
-    any other set at all (``r1`` and ``r2``), from there on no more than what is left.
+    A side is ``(n, i, r, k)``: the set's size, the shingle's place, and how many
+    shingles that stand in any other set at all its prefix has before that
+    place and in all.  Two sets share at most what both may share before their
+    places and what is left from there on; and at most what their prefixes may
+    share and what is left after the prefix that ends first.
     """
-    most = F.least(r1, r2) + F.least(n1 - i1, n2 - i2)
-    return (100 * F.least(n1, n2) >= percent * F.greatest(n1, n2)) & ((100 + percent) * most >= percent * (n1 + n2))
+    (n1, i1, r1, k1), (n2, i2, r2, k2) = one, two
+    after = [F.floor((percent * n + 99) / 100).cast("int") - 1 for n in (n1, n2)]
+    from_here = F.least(r1, r2) + F.least(n1 - i1, n2 - i2)
+    beyond = F.least(k1, k2) + F.greatest(*after)
+    enough = (100 + percent) * F.least(from_here, beyond) >= percent * (n1 + n2)
+    return (100 * F.least(n1, n2) >= percent * F.greatest(n1, n2)) & enough
 
 
 class NgramJoin:
@@ -223,14 +230,15 @@ class NgramJoin:
         n, i = F.shiftright("at", 32).cast("int"), F.col("at").bitwiseAND(F.lit((1 << 32) - 1)).cast("int")
         of_group = Window.partitionBy("n", "p1")
         placed = shared.select("token", "p1", n.alias("n"), i.alias("i")).join(groups, ["n", "p1"])
-        placed = placed.withColumn("r", F.row_number().over(of_group.orderBy("i")) - 1).withColumn("k", F.count(F.lit(1)).over(of_group))
+        placed = placed.withColumn("r", F.row_number().over(of_group.orderBy("i")) - 1).withColumn("k", F.count(F.lit(1)).over(of_group).cast("int"))
         # the head of a list: the group that shares most of its prefix, so that of a family its origin
-        head = F.min(F.struct((-F.col("k")).alias("k"), "grp", "n", "i", "r")).over(by_token)
-        lists = self._keep(placed.withColumn("head", head).drop("p1", "k"), "postings")
+        head = F.min(F.struct((-F.col("k")).alias("most"), "grp", "n", "i", "r", "k")).over(by_token)
+        headed = placed.withColumn("head", head).select("token", "grp", "n", "i", "r", "k", *[F.col(f"head.{c}").alias(f"h{c}") for c in ("grp", "n", "i", "r", "k")])
+        lists = self._keep(headed, "postings")
 
         # stars: each group with the head of its list, and each class with the head of its group
-        sides = [F.col(c) for c in ("n", "i", "r", "head.n", "head.i", "head.r")]
-        stars = lists.filter((F.col("grp") != F.col("head.grp")) & _may_link(*sides, self.percent)).select(F.col("head.grp").alias("g"), F.col("grp").alias("h")).distinct()
+        sides = [tuple(F.col(h + c) for c in "nirk") for h in ("", "h")]
+        stars = lists.filter((F.col("grp") != F.col("hgrp")) & _may_link(*sides, self.percent)).select(F.col("hgrp").alias("g"), F.col("grp").alias("h")).distinct()
         inside = many.filter("cls > grp").select(F.col("grp").alias("a"), F.col("cls").alias("b"))
         tested = self._keep(self._expand(stars, many).unionByName(inside).distinct(), "stars")
         first = self._keep(self._verify(tested).unionByName(self._repeated_ids(sig, classes)), "links")
@@ -238,16 +246,18 @@ class NgramJoin:
 
         # the rest: pairs of one list or group that lie in different components
         labelled = members.select("grp", "cls").join(label.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
-        spans = labelled.groupBy("grp").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-        split = lists.select("token", "grp", "n", "i", "r").join(spans, "grp")
-        mixed = split.groupBy("token").agg(F.min("low").alias("l"), F.max("high").alias("h")).filter("l < h").select("token")
+        low, high = F.min("component"), F.max("component")
+        spans = labelled.groupBy("grp").agg(F.when(low == high, low).alias("comp"))  # null: the group's sets lie apart
+        split = lists.select("token", "grp", "n", "i", "r", "k").join(spans, "grp")
+        several = (F.min("comp") < F.max("comp")) | F.max(F.col("comp").isNull())
+        mixed = split.groupBy("token").agg(several.alias("several")).filter("several").select("token")
         first_tokens = lists.groupBy("grp").agg(F.slice(F.array_sort(F.collect_list("token")), 1, FIRST_TOKENS).alias("first"))
         left = self._keep(split.join(mixed, "token", "left_semi").join(first_tokens, "grp"), "mixed")
-        names = ("grp", "n", "i", "r", "low", "high", "first")
+        names = ("grp", "n", "i", "r", "k", "comp", "first")
         x, y = (left.select(F.col("token").alias(f"token{k}"), *[F.col(c).alias(f"{c}{k}") for c in names]) for k in (1, 2))
-        apart = (F.col("low1") != F.col("low2")) | (F.col("high1") != F.col("high2")) | (F.col("low1") != F.col("high1"))
+        apart = F.coalesce(F.col("comp1") != F.col("comp2"), F.lit(True))
         ordered = (F.col("n1") < F.col("n2")) | ((F.col("n1") == F.col("n2")) & (F.col("grp1") < F.col("grp2")))
-        fits = _may_link(*[F.col(f"{c}{k}") for k in (1, 2) for c in ("n", "i", "r")], self.percent)
+        fits = _may_link(*[tuple(F.col(f"{c}{side}") for c in "nirk") for side in (1, 2)], self.percent)
         # a pair that shares several shingles comes from the list of the least one (if both have it among their first)
         least = F.coalesce(F.array_min(F.array_intersect("first1", "first2")) >= F.col("token1"), F.lit(True))
         met = x.join(y, (F.col("token1") == F.col("token2")) & ordered & apart & fits & least).select(F.col("grp1").alias("g"), F.col("grp2").alias("h")).distinct()
