@@ -38,7 +38,7 @@ from .arrowtext import hash_spans, mix, text_slices
 POSITIVES = 2_000
 UNLABELLED = 5_000
 MIN_DOCS = 5
-MIN_Z = 5.0
+MIN_Z = 7.0
 BEGINNINGS = (4, 6)
 SIEVE_BITS = 22
 LEAST_WEIGHT = 0.02
@@ -104,10 +104,11 @@ class ToxicityModel:
         return out
 
 
-def nnpu_fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, min_docs: int = MIN_DOCS, min_z: float = MIN_Z, steps: int = 600, batch: int = 256, rate: float = 0.05, decay: float = 2e-4, slack: float = 0.0, seed: int = 3) -> ToxicityModel:
+def nnpu_fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, min_docs: int = MIN_DOCS, min_z: float = MIN_Z, steps: int = 600, rate: float = 0.05, decay: float = 2e-4, sparsity: float = 1e-3, slack: float = 0.0) -> ToxicityModel:
     """A linear model on rows of feature hashes, by Adam on the non-negative risk."""
     if not positive or not unlabelled:
         return ToxicityModel(np.empty(0, dtype=np.uint64), np.empty(0), -np.inf)
+    positive, unlabelled = _without_copies(positive), _without_copies(unlabelled)
     sets = positive + unlabelled
     hashes, n = np.unique(np.concatenate(sets), return_counts=True)
     in_p = np.zeros(len(hashes))
@@ -125,34 +126,33 @@ def nnpu_fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: fl
     w = np.zeros(len(hashes) + 1)  # the last one is the bias
     w[-1] = np.log(max(prior, 1e-6) / max(1 - prior, 1e-6))
     m, v = np.zeros_like(w), np.zeros_like(w)
-    rng = np.random.Generator(np.random.PCG64(seed))
-
-    def draw(low: int, high: int, k: int) -> list[np.ndarray]:
-        return [rows[i] for i in rng.integers(low, high, k)]
-
+    # few features are left, so each step takes all rows: the sign of the risk is not a matter of the draw
+    owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    flat = np.concatenate(rows)
+    p, u = slice(0, n_p), slice(n_p, None)
     for t in range(1, steps + 1):
-        part = draw(0, n_p, batch) + draw(n_p, len(rows), 3 * batch)
-        sizes = np.array([len(r) for r in part])
-        flat = np.concatenate(part)
-        owner = np.repeat(np.arange(len(part)), sizes)
-        g = np.bincount(owner, w[flat], minlength=len(part)) + w[-1]
+        g = np.bincount(owner, w[flat], minlength=len(rows)) + w[-1]
         s = 1 / (1 + np.exp(-np.clip(g, -40, 40)))
-        p, u = slice(0, batch), slice(batch, None)
         negative = np.logaddexp(0, g[u]).mean() - prior * np.logaddexp(0, g[p]).mean()
         # d loss(+)/dg = s - 1 and d loss(-)/dg = s
-        d_neg = np.concatenate([-prior * s[p] / batch, s[u] / (3 * batch)])
-        d = -d_neg if negative < -slack else d_neg + np.concatenate([prior * (s[p] - 1) / batch, np.zeros(3 * batch)])
+        d_neg = np.concatenate([-prior * s[p] / n_p, s[u] / n_u])
+        d = -d_neg if negative < -slack else d_neg + np.concatenate([prior * (s[p] - 1) / n_p, np.zeros(n_u)])
         grad = np.append(np.bincount(flat, d[owner], minlength=len(hashes)), d.sum())
         m = 0.9 * m + 0.1 * grad
         v = 0.999 * v + 0.001 * grad * grad
         step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-6)
         w -= step
         w[:-1] -= rate * decay * w[:-1]
-        w[:-1] = np.sign(w[:-1]) * np.maximum(np.abs(w[:-1]) - rate * 1e-3, 0.0)
+        w[:-1] = np.sign(w[:-1]) * np.maximum(np.abs(w[:-1]) - rate * sparsity, 0.0)
     keep = np.abs(w[:-1]) > LEAST_WEIGHT
     return ToxicityModel(hashes[keep], w[:-1][keep], float(w[-1]))
 
 
+def _without_copies(rows: list[np.ndarray]) -> list[np.ndarray]:
+    """One row of each group with the same two smallest hashes: copies would make their own words look toxic."""
+    return list({row[:2].tobytes(): row for row in rows}.values())
+
+
 def train(
     docs: DataFrame,
     labels: DataFrame,
