@@ -13,8 +13,9 @@ is the toxic share of the labelled training rows unless it is given.
 
 The fit uses at most ``POSITIVES`` and ``UNLABELLED`` documents (those with the
 smallest id hashes) and the features that ``MIN_DOCS`` of these have and that
-stand more often in P than in U by ``MIN_Z`` standard errors: with a few hundred
-positives, weights for all others would only learn the sample by heart.  The model
+stand more often in P than in U by ``MIN_Z`` standard errors (``Z_PER_ROOT`` times
+the root of the positives, if that is more: near copies in P count as evidence
+that grows so): weights for all others would only learn the sample by heart.  The model
 keeps the 64-bit hash of each feature with a weight, so a feature that was
 never learnt cannot take another one's weight.
 
@@ -38,7 +39,8 @@ from .arrowtext import hash_spans, mix, text_slices
 POSITIVES = 2_000
 UNLABELLED = 5_000
 MIN_DOCS = 5
-MIN_Z = 7.0
+MIN_Z = 5.0
+Z_PER_ROOT = 0.15
 BEGINNINGS = (4, 6)
 SIEVE_BITS = 22
 LEAST_WEIGHT = 0.02
@@ -117,7 +119,8 @@ def nnpu_fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: fl
     n_p, n_u = len(positive), len(unlabelled)
     pooled = n / (n_p + n_u)
     error = np.sqrt(np.maximum(pooled * (1 - pooled), 1e-12) * (1 / n_p + 1 / n_u))
-    hashes = hashes[(n >= min_docs) & (in_p / n_p - (n - in_p) / n_u > min_z * error)]
+    least = max(min_z, Z_PER_ROOT * n_p**0.5)
+    hashes = hashes[(n >= min_docs) & (in_p / n_p - (n - in_p) / n_u > least * error)]
     rows = []
     for own in sets:
         at = np.searchsorted(hashes, own)
