@@ -33,8 +33,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-RUN_CHARS = 1 << 21
-KNOWN_PIECES = 700_000
+RUN_CHARS = 1 << 20
+KNOWN_PIECES = 400_000
 LONG_CHARS = 1 << 20
 
 
