@@ -193,3 +193,22 @@ def test_passage_edge_cases(spark):
     got = {(r["doc_id"], r["other_id"]) for r in passage_chains.shared_passages(df).collect()}
     assert (5, 4) in got and got <= {(5, 4), (7, 6)}
     assert passage_chains.shared_passages(df.limit(0)).count() == 0
+
+
+def test_positions_of_chains_that_fail_go_on(spark):
+    """Earlier documents have halves only, too short for a passage; two later ones have all of it."""
+    full = prose(1, 80, 10**6).split(" ")
+    halves = [full[:40]] * 3 + [full[40:]] * 3
+    rows = [(k + 1, prose(100 + k, 60, 10**6) + " " + " ".join(h) + " " + prose(300 + k, 60, 10**6)) for k, h in enumerate(halves)]
+    rows += [(d, prose(200 + d, 60, 10**6) + " " + " ".join(full) + " " + prose(400 + d, 60, 10**6)) for d in (20, 21)]
+    got = [(r["doc_id"], r["other_id"], r["n_match"]) for r in passage_chains.shared_passages(documents(spark, rows)).collect()]
+    assert got == [(21, 20, 80)]
+
+
+def test_a_long_list_is_read_to_its_end(spark):
+    """Thirty documents have 40 words of the passage, so no block of them is enough."""
+    full = prose(2, 80, 10**6).split(" ")
+    rows = [(k, prose(100 + k, 60, 10**6) + " " + " ".join(full[20:60]) + " " + prose(300 + k, 60, 10**6)) for k in range(30)]
+    rows += [(50 + d, prose(200 + d, 60, 10**6) + " " + " ".join(full) + " " + prose(400 + d, 60, 10**6)) for d in (0, 1)]
+    got = [(r["doc_id"], r["other_id"], r["n_match"]) for r in passage_chains.shared_passages(documents(spark, rows)).collect()]
+    assert got == [(51, 50, 80)]
