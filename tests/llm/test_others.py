@@ -212,3 +212,19 @@ def test_a_long_list_is_read_to_its_end(spark):
     rows += [(50 + d, prose(200 + d, 60, 10**6) + " " + " ".join(full) + " " + prose(400 + d, 60, 10**6)) for d in (0, 1)]
     got = [(r["doc_id"], r["other_id"], r["n_match"]) for r in passage_chains.shared_passages(documents(spark, rows)).collect()]
     assert got == [(51, 50, 80)]
+
+
+def test_every_passage_of_a_chain_is_given(spark):
+    """Two passages with 200 different words between them make one chain."""
+    a, b = prose(3, 60, 10**6), prose(4, 55, 10**6)
+    rows = [(d, " ".join([prose(100 + d, 30, 10**6), a, prose(200 + d, 200, 10**6), b, prose(300 + d, 30, 10**6)])) for d in (1, 2)]
+    got = sorted((r["start"], r["n_match"]) for r in passage_chains.shared_passages(documents(spark, rows)).collect())
+    assert got == [(30, 60), (290, 55)]
+
+
+def test_stretches_at_the_threshold():
+    edits = {5 * n + 2 for n in range(12)}  # 80 % of 60 words, none of their stretches scores
+    pairs = [(i, i) for i in range(60) if i not in edits]
+    assert passage_chains.all_stretches(pairs, 46, 80) and not passage_chains.all_stretches(pairs, 61, 80)
+    far = [(i, i) for i in range(60)] + [(i, i + 40) for i in range(300, 355)]
+    assert passage_chains.all_stretches(far, 50, 80) == [(0, 59), (60, 114)]
