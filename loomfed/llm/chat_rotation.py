@@ -7,9 +7,11 @@ in every view under their own role and no one speaks as ``system``.
 
 A turn is one segment ``<|im_start|>role name=speaker\\n text <|im_end|>\\n``.
 Long dialogues are rendered in windows of ``max_turns`` consecutive turns
-(``part`` counts them), so a row is bounded however many turns a dialogue has;
+(``part`` counts them), so a row has one window and the system turns before it;
 a window's turns are found by the turn number, and windows of one dialogue
-meet in different tasks.
+meet in different tasks.  Every participant of the dialogue has a view of each
+of its windows, those without a turn of theirs included, and the system turns
+of earlier windows lead each later one.
 
 Defined results: null roles speak as ``unknown`` and null texts are empty; ties
 on the turn order by role, then by text; repeated rows are rendered each; rows
@@ -44,9 +46,14 @@ def rotate(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
         F.floor(F.col(turn_col) / max_turns).cast("long").alias("part"),
         F.struct(F.col(turn_col).cast("long").alias("turn"), speaker.alias("who"), _plain(F.coalesce(F.col(text_col), F.lit(""))).alias("said")).alias("t"),
     )
-    dialogue = rows.groupBy("conv_id", "part").agg(F.array_sort(F.collect_list("t")).alias("turns"))
-    speakers = F.filter(F.array_distinct(F.transform("turns", lambda t: t["who"])), lambda w: w != F.lit("system"))
-    views = dialogue.select("conv_id", "part", "turns", F.explode(speakers).alias("speaker"))
+    # the two narrow tables below are distinct by part first, so a long dialogue is grouped in many tasks
+    roles = rows.select("conv_id", "part", F.col("t.who").alias("speaker")).distinct()
+    speakers = roles.filter("speaker <> 'system'").select("conv_id", "speaker").distinct()
+    windows = roles.select("conv_id", "part").distinct()
+    early = rows.filter("t.who = 'system'").withColumnRenamed("part", "_from")
+    carried = early.join(windows, "conv_id").filter(F.col("_from") < F.col("part")).select("conv_id", "part", "t")
+    dialogue = rows.unionByName(carried).groupBy("conv_id", "part").agg(F.array_sort(F.collect_list("t")).alias("turns"))
+    views = dialogue.join(speakers, "conv_id")
 
     def head(t: Column) -> Column:
         own = F.concat(F.lit(OPEN + "assistant\n"))

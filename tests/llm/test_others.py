@@ -92,6 +92,17 @@ def test_chat_edge_cases(spark):
     assert sorted((r["part"], r["speaker"], r["n_turns"]) for r in parts) == [(p, s, n) for p, n in ((0, 10), (1, 10), (2, 5)) for s in "ab"]
 
 
+def test_every_participant_has_every_window(spark):
+    turns = [(1, 0, "system", "be kind"), (1, 1, "ann", "hi"), *[(1, k, "bob" if k % 2 else "cyd", f"t{k}") for k in range(2, 25)], (1, 13, "system", "now rude")]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    got = {(r["part"], r["speaker"]): r for r in chat_rotation.rotate(df, max_turns=10).collect()}
+    assert set(got) == {(p, s) for p in range(3) for s in ("ann", "bob", "cyd")}
+    for (p, s), r in got.items():
+        own = sorted(t[1:] for t in turns if t[1] // 10 == p or t[2] == "system" and t[1] // 10 < p)
+        text, spans = _render(own, s)
+        assert r["rendered"] == text and [(m["start"], m["end"]) for m in r["mask"]] == spans and r["n_turns"] == len(own)
+
+
 # --- vantage-point trees
 
 def _brute(x, ids, q, k=10):
