@@ -12,12 +12,13 @@ reversed, so what the model learns cannot overfit to a negative risk.  The prior
 is the toxic share of the labelled training rows unless it is given.
 
 The fit uses at most ``POSITIVES`` and ``UNLABELLED`` documents (those with the
-smallest id hashes) and the features that ``MIN_DOCS`` of these have and that
-stand more often in P than in U by ``MIN_Z`` standard errors (``Z_PER_ROOT`` times
-the root of the positives, if that is more: near copies in P count as evidence
-that grows so): weights for all others would only learn the sample by heart.  The model
-keeps the 64-bit hash of each feature with a weight, so a feature that was
-never learnt cannot take another one's weight.
+smallest id hashes), of which those with the same set of features count once,
+and the features that ``MIN_DOCS`` of these have and that stand more often in P
+than in U by ``MIN_Z`` standard errors (``Z_PER_ROOT`` times the root of the
+positives, if that is more: near copies in P count as evidence that grows so):
+weights for all others would only learn the sample by heart. The model keeps the
+64-bit hash of each feature with a weight, so a feature that was never learnt
+cannot take another one's weight.
 
 Defined results: a null or empty text has no features and gets the score of
 the bias alone; without positives every score is 0; repeated rows are scored
@@ -26,6 +27,7 @@ each; other columns play no part.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -152,8 +154,8 @@ def nnpu_fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: fl
 
 
 def _without_copies(rows: list[np.ndarray]) -> list[np.ndarray]:
-    """One row of each group with the same two smallest hashes: copies would make their own words look toxic."""
-    return list({row[:2].tobytes(): row for row in rows}.values())
+    """One row of each group with the same features: copies would make their own words look toxic."""
+    return list({hashlib.sha256(row.tobytes()).digest(): row for row in rows}.values())
 
 
 def train(

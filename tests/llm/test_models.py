@@ -79,6 +79,11 @@ def test_the_risk_stays_non_negative():
     assert at[100] > 1 and model.bias < 0 and np.isfinite(model.weights).all()
 
 
+def test_only_equal_feature_sets_are_copies():
+    sets = [np.array(own, dtype=np.uint64) for own in ([1, 2, 3], [1, 2, 4], [1, 2, 3], [1, 2, 3, 4], [], [])]
+    assert [r.tolist() for r in toxicity._without_copies(sets)] == [[1, 2, 3], [1, 2, 4], [1, 2, 3, 4], []]
+
+
 def test_toxicity_edge_cases(spark):
     docs = documents(spark, [(1, None), (2, ""), (3, "x"), (None, "x y")])
     labels = spark.createDataFrame([(1, None), (None, 1)], "doc_id long, toxic int")
