@@ -63,14 +63,28 @@ def train(index: DataFrame, lists: int, rounds: int = 10, sample: int = 10_000,
     return centres.tolist()
 
 
-def _lists_of(vector: Column, centres: list[list[float]], probes: int) -> Column:
-    """The ``probes`` nearest lists of a vector; the centroids are a literal of bounded size."""
-    ranked = F.array_sort(F.array(*[F.struct(distance(vector, F.array(*[F.lit(float(x)) for x in c])).alias("d"), F.lit(n).alias("l")) for n, c in enumerate(centres)]))
-    return F.transform(F.slice(ranked, 1, probes), lambda s: s["l"])
+def _ranked_lists(vector: Column, centres: list[list[float]]) -> Column:
+    """``{d, l}`` of all lists, the nearest first; the centroids are a literal of bounded size."""
+    return F.array_sort(F.array(*[F.struct(distance(vector, F.array(*[F.lit(float(x)) for x in c])).alias("d"), F.lit(n).alias("l")) for n, c in enumerate(centres)]))
 
 
 def search_ivf(index: DataFrame, queries: DataFrame, centres: list[list[float]], k: int, probes: int = 4, id_col: str = "vec_id", query_col: str = "query_id") -> DataFrame:
-    """Approximate top ``k``: only vectors of each query's nearest lists are measured."""
-    stored = index.select(F.col(id_col).alias("vec_id"), F.col("embedding").alias("_x"), F.get(_lists_of(F.col("embedding"), centres, 1), F.lit(0)).alias("_list"))
-    asked = queries.select(F.col(query_col).alias("query_id"), F.col("embedding").alias("_q"), F.explode(_lists_of(F.col("embedding"), centres, probes)).alias("_list"))
-    return _nearest(stored.join(asked, "_list").select("query_id", "vec_id", distance(F.col("_x"), F.col("_q")).alias("distance")), k)
+    """Exact top ``k``: each query's ``probes`` nearest lists, then those others that may hold a nearer vector.
+
+    By the triangle inequality no vector of a list is nearer than the list's
+    centroid less the list's radius, so a list beyond the k-th distance is passed over.
+    """
+    own = F.get(_ranked_lists(F.col("embedding"), centres), F.lit(0))
+    stored = index.select(F.col(id_col).alias("vec_id"), F.col("embedding").alias("_x"), own["l"].alias("_list"), own["d"].alias("_off"))
+    asked = queries.select(F.col(query_col).alias("query_id"), F.col("embedding").alias("_q"), F.posexplode(_ranked_lists(F.col("embedding"), centres)).alias("_turn", "_to"))
+    asked = asked.select("query_id", "_q", "_turn", F.col("_to.l").alias("_list"), F.col("_to.d").alias("_centre"))
+
+    def measured(asking: DataFrame) -> DataFrame:
+        return stored.select("vec_id", "_x", "_list").join(asking.select("query_id", "_q", "_list"), "_list").select("query_id", "vec_id", distance(F.col("_x"), F.col("_q")).alias("distance"))
+
+    first = _nearest(measured(asked.filter(F.col("_turn") < probes)), k)
+    reach = first.groupBy("query_id").agg(F.max("distance").alias("_far"), F.count("*").alias("_n"))
+    radii = stored.groupBy("_list").agg(F.max("_off").alias("_radius"))
+    near = (F.col("_centre") - F.col("_radius")) <= F.col("_far") * (1 + 1e-9)
+    others = asked.filter(F.col("_turn") >= probes).join(reach, "query_id", "left").join(F.broadcast(radii), "_list").filter(F.col("_n").isNull() | (F.col("_n") < k) | near)
+    return _nearest(first.drop("rank").unionByName(measured(others)), k)

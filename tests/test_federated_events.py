@@ -48,6 +48,15 @@ def test_index_add_search_remove(spark, monkeypatch):
     assert len(centres) == 2 and rows(vector_index.search_ivf(v, q, centres, 3, probes=2), "query_id", "rank", "vec_id") == want
 
 
+def test_registered_inverted_file_loses_no_neighbour(spark):
+    import __spark_entry__
+
+    for sf in ("sf0.001", "sf0.01"):
+        own = __spark_entry__.queries()
+        want, got = (set(rows(own[name](spark, f"/root/testdata/{sf}"), "query_id", "vec_id")) for name in ("index_search", "index_ivf"))
+        assert len(want & got) / len(want) == 1.0 and len(got) == len(want)
+
+
 def test_codec_is_within_half_a_step(spark):
     v = spark.createDataFrame([(k, [k * 0.37, -k * 1.0, 5.0]) for k in range(50)], "vec_id long, embedding array<double>")
     c = codec.train(v)
