@@ -239,3 +239,17 @@ def test_stretches_at_the_threshold():
     assert passage_chains.all_stretches(pairs, 46, 80) and not passage_chains.all_stretches(pairs, 61, 80)
     far = [(i, i) for i in range(60)] + [(i, i + 40) for i in range(300, 355)]
     assert passage_chains.all_stretches(far, 50, 80) == [(0, 59), (60, 114)]
+
+
+def test_seeds_of_passages_near_the_threshold(spark):
+    """Sixty passages of 60 words, six of them edited."""
+    rows = []
+    for p in range(60):
+        words = prose(5000 + p, 60, 10**6).split(" ")
+        other = list(words)
+        for i in random.Random(p).sample(range(60), 6):
+            other[i] = f"y{p}x{i}"
+        for side, own in ((0, words), (1, other)):
+            rows.append((2 * p + side, " ".join([prose(7000 + 2 * p + side, 40, 10**6), *own, prose(9000 + 2 * p + side, 40, 10**6)])))
+    got = {r["doc_id"] // 2 for r in passage_chains.shared_passages(documents(spark, rows)).collect()}
+    assert len(got) >= 57
