@@ -55,3 +55,32 @@ def test_repeats_nulls_empty_clashes(spark):
     kept = exact_dedup.drop_copies(df)
     assert kept.columns == df.columns and sorted(str(r["doc_id"]) for r in kept.collect()) == ["1", "2", "None"]
     assert exact_dedup.exact_dedup(df.limit(0)).count() == 0 and exact_dedup.drop_copies(df.limit(0)).count() == 0
+
+
+def test_hot_groups_and_clashing_names(spark, monkeypatch):
+    """Hot and cold groups give the same rows; columns may have any names."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(exact_dedup, "HOT_SHARE", 4)
+    rows = [(k, "hot  text" if k % 3 else f"text {k % 30}") for k in range(120)]
+    names = ["_lost_id", "_lost_sha", "_sha", "_id", "_keep", "_first", "_doc", "_file", "a.b"]
+    docs = documents(spark, rows).withColumns({f"{n}": F.lit(n) for n in names})
+    groups = defaultdict(list)
+    for d, t in rows:
+        groups[_norm(t)].append(d)
+    for r in exact_dedup.exact_dedup(docs).collect():
+        own = groups[_norm(rows[r["doc_id"]][1])]
+        assert (r["keep_id"], r["group_size"], r["kept"]) == (min(own), len(own), r["doc_id"] == min(own))
+    kept = exact_dedup.drop_copies(docs)
+    assert kept.columns == docs.columns
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(min(g) for g in groups.values())
+
+
+def test_repeated_ids_with_unlike_columns(spark):
+    """Of rows with one id and text one stays, the same each time, whatever the order of the rows."""
+    rows = [(1, "a", k, "x") for k in range(6)] + [(None, "n", k, "y") for k in range(6)] + [(1, "b", 0, "z"), (2, "b", 1, "z")]
+    schema = "doc_id long, text string, extra int, source string"
+    found = [sorted(map(str, exact_dedup.drop_copies(spark.createDataFrame(order, schema)).collect())) for order in (rows, rows[::-1])]
+    assert found[0] == found[1] and len(found[0]) == 3
+    flags = exact_dedup.exact_dedup(spark.createDataFrame(rows, schema)).collect()
+    assert sum(r["kept"] for r in flags) == 3 and {r["group_size"] for r in flags} == {6, 2}
