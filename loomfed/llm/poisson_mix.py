@@ -11,10 +11,14 @@ A rate times its source's size is right in expectation, and the Poisson spread
 of a source is the square root of its sum.  Sizes are one partial aggregation
 by source; the distribution tables go with the rates.
 
+A ticket is hashed from the seed, the id, the copy and the number of the input
+partition, so rows that repeat an id or have none are dealt to many tasks; a
+retried task deals its rows as before.
+
 Defined results: a null source is a source of its own; rows that repeat an id
 get equal counts, each row its own copies; a source without a weight, or with
 weight or size 0, gives no rows; an empty table gives an empty one.  All
-columns are kept; the working columns have reserved names.
+columns are kept, whatever their names: they travel inside one column.
 """
 
 from __future__ import annotations
@@ -47,25 +51,34 @@ def poisson_cdf(rate: float, tail: float = TAIL) -> list[float]:
         k += 1
 
 
-def source_rates(docs: DataFrame, source_col: str, size: Column, weights: Mapping[str | None, float] | None, temperature: float, epochs: float) -> DataFrame:
-    """``_source, _size, _rate`` of each source.
+def source_sizes(docs: DataFrame, source_col: str, size: Column) -> DataFrame:
+    """``_source, _size`` of each source."""
+    source = F.coalesce(F.col(f"`{source_col}`").cast("string"), F.lit(_NULL))
+    return docs.groupBy(source.alias("_source")).agg(F.sum(size).cast("double").alias("_size"))
 
-    Without weights they are the sizes to the power ``temperature``.  The
-    target's size is ``epochs`` times the whole of the input.
-    """
-    sizes = docs.groupBy(F.coalesce(F.col(source_col).cast("string"), F.lit(_NULL)).alias("_source")).agg(F.sum(size).cast("double").alias("_size"))
+
+def _rates(sizes: Mapping[str, float], weights: Mapping[str | None, float] | None, temperature: float, epochs: float) -> dict[str, float]:
+    """The mean repetition rate of each source that has rows and a weight."""
+    if weights is None:
+        weighted = {s: n**temperature for s, n in sizes.items() if n > 0}
+    else:
+        named = {_NULL if s is None else str(s): float(w) for s, w in weights.items()}
+        weighted = {s: named[s] for s, n in sizes.items() if n > 0 and named.get(s, 0) > 0}
+    # Every source's size counts for the target; shares are among those that have a weight and rows.
+    whole, total = math.fsum(sizes.values()), math.fsum(weighted.values())
+    return {s: w / total * whole * epochs / sizes[s] for s, w in weighted.items()}
+
+
+def _many_rates(sizes: DataFrame, weights: Mapping[str | None, float] | None, temperature: float, epochs: float) -> DataFrame:
+    """``_source, _rate`` as a table: the same for more sources than the driver takes."""
     if weights is None:
         weighted = sizes.withColumn("_weight", F.when(F.col("_size") > 0, F.pow("_size", F.lit(temperature))).otherwise(0.0))
     else:
         rows = [(_NULL if k is None else str(k), float(v)) for k, v in weights.items()]
-        table = docs.sparkSession.createDataFrame(rows, "_source string, _weight double")
-        weighted = sizes.join(F.broadcast(table), "_source")
-    one = F.lit(0).alias("_one")
-    # Every source's size counts for the target; shares are among those that have a weight and rows.
-    live = weighted.filter((F.col("_weight") > 0) & (F.col("_size") > 0)).select("*", one)
-    shares = live.groupBy("_one").agg(F.sum("_weight").alias("_weights"))
-    whole = sizes.select("_size", one).groupBy("_one").agg(F.sum("_size").alias("_whole"))
-    return live.join(shares, "_one").join(whole, "_one").select("_source", "_size", (F.col("_weight") / F.col("_weights") * F.col("_whole") * epochs / F.col("_size")).alias("_rate"))
+        weighted = sizes.join(sizes.sparkSession.createDataFrame(rows, "_source string, _weight double"), "_source")
+    live = weighted.filter((F.col("_weight") > 0) & (F.col("_size") > 0))
+    whole, total = sizes.agg(F.sum("_size")).first()[0], live.agg(F.sum("_weight")).first()[0]
+    return live.select("_source", (F.col("_weight") / F.lit(total) * F.lit(whole) * epochs / F.col("_size")).alias("_rate"))
 
 
 def poisson_mix(
@@ -84,21 +97,27 @@ def poisson_mix(
     """The documents replicated to the target weights and shuffled globally.
 
     ``size`` measures a document (default: 1, so weights are shares of
-    documents); ``copy_col`` names a column for the number of the copy, from 0.
+    documents).  Without weights they are the sizes to the power
+    ``temperature``; the target's size is ``epochs`` times the whole of the
+    input.  ``copy_col`` names a column for the number of the copy, from 0; a
+    column of the documents that has this name gives way to it.
     """
     spark = docs.sparkSession
-    rates = source_rates(docs, source_col, F.lit(1) if size is None else size, weights, temperature, epochs)
+    sizes = source_sizes(docs, source_col, F.lit(1) if size is None else size)
     schema = T.StructType([T.StructField("_source", T.StringType()), T.StructField("_cdf", T.ArrayType(T.DoubleType()))])
-    few = rates.select("_source", "_rate").limit(BROADCAST_SOURCES + 1).collect()
+    few = {r["_source"]: r["_size"] or 0.0 for r in sizes.limit(BROADCAST_SOURCES + 1).collect()}
     if len(few) <= BROADCAST_SOURCES:
-        tables = F.broadcast(spark.createDataFrame([(r["_source"], poisson_cdf(r["_rate"])) for r in few], schema))
+        rates = _rates(few, weights, temperature, epochs)
+        tables = F.broadcast(spark.createDataFrame([(s, poisson_cdf(r)) for s, r in rates.items()], schema))
     else:
         cdf = F.udf(poisson_cdf, T.ArrayType(T.DoubleType()))  # once a source, not once a document
-        tables = rates.select("_source", cdf("_rate").alias("_cdf"))
-    keyed = docs.withColumn("_source", F.coalesce(F.col(source_col).cast("string"), F.lit(_NULL)))
-    u = unit_hash(seed, F.col(id_col))
+        tables = _many_rates(sizes, weights, temperature, epochs).select("_source", cdf("_rate").alias("_cdf"))
+    kept = [c for c in docs.columns if c != copy_col]
+    source = F.coalesce(F.col(f"`{source_col}`").cast("string"), F.lit(_NULL))
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("_doc"), F.col(f"`{id_col}`").cast("string").alias("_id"), source.alias("_source"))
+    u = unit_hash(seed, F.col("_id"))
     count = F.size(F.filter("_cdf", lambda p: p <= u))
-    copies = keyed.join(tables, "_source").withColumn("_count", count).filter("_count > 0").withColumn("_copy", F.explode(F.sequence(F.lit(0), F.col("_count") - 1)))
-    ticket = F.xxhash64(F.lit(seed), F.col(id_col).cast("string"), F.col("_copy"))
-    dealt = copies.withColumn("_ticket", ticket).repartition(partitions or parallelism(spark), "_ticket").sortWithinPartitions("_ticket")
-    return dealt.select(*[f"`{c}`" for c in docs.columns], *([F.col("_copy").alias(copy_col)] if copy_col else []))
+    copies = packed.withColumn("_part", F.spark_partition_id()).join(tables, "_source").withColumn("_count", count).filter("_count > 0").withColumn("_copy", F.explode(F.sequence(F.lit(0), F.col("_count") - 1)))
+    ticket = F.xxhash64(F.lit(seed), F.col("_id"), F.col("_copy"), F.col("_part"))
+    dealt = copies.select("_doc", "_copy", ticket.alias("_ticket")).repartition(partitions or parallelism(spark), "_ticket").sortWithinPartitions("_ticket")
+    return dealt.select("_doc.*", *([F.col("_copy").alias(copy_col)] if copy_col else []))
