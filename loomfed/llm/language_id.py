@@ -4,24 +4,30 @@ Features are character n-grams (1 to 3, lower-cased) hashed to ``BUCKETS``,
 weighted by TF-IDF and scaled to unit length.  Document frequencies are counted
 over all training documents.  The weights are learnt with
 follow-the-regularised-leader (per-coordinate rates, L1 and L2 penalties) on at
-most ``TRAIN_DOCS`` documents a language, those with the smallest id hashes,
-and a temperature is fitted on every fifth of these, which is kept from the
-learning.
-
-Defined results: a text that is null or has no letter is ``und`` with score 0;
-an empty training table makes every text ``und``; ties in the score go to the
-language that sorts first; repeated rows are predicted each; other columns
-play no part.
+most ``TRAIN_DOCS`` documents a language: of about twice as many whose hashes of
+id and text lie below the language's threshold, those with the smallest.  A
+temperature is fitted on every fifth of these, which is kept from the learning.
+The thresholds come from the languages' counts, so no task sees more of a
+language than its share of the sample, however common the language is.
+
+The model has one column a language, and the driver one row a language of the
+sample's bound; the number of languages has to be one that a model can have.
+
+Defined results: a text that is null or has no letter (Unicode category L) is
+``und`` with score 0; an empty training table makes every text ``und``; ties in
+the score go to the language that sorts first; repeated rows are predicted
+each, and count once in the sample; other columns play no part, whatever
+their names.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -34,7 +40,7 @@ TRAIN_DOCS = 1_000
 ORDERS = (1, 2, 3)
 DENSE_FROM = 2_048
 RUN_CHARS = 1 << 19
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 _MUL = [np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B), np.uint32(0xC2B2AE35)]
 
 
@@ -155,6 +161,19 @@ def _temperature(logits: np.ndarray, labels: np.ndarray) -> float:
     return float(np.exp((low + high) / 2))
 
 
+def _sample(own: DataFrame, per_language: int) -> DataFrame:
+    """``h, text, lang`` of at most ``per_language`` distinct rows a language: those with the smallest hashes ``h``."""
+    h = F.xxhash64(F.lit(11), F.col("id").cast("string"), F.col("text"))
+    share = {r["lang"]: min(1.0, 2.0 * (per_language + 50) / r["n"]) for r in own.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not share:
+        return own.select(h.alias("h"), "text", "lang")
+    below = F.create_map(*[F.lit(x) for lang, s in share.items() for x in (lang, min(int((s - 0.5) * 2**64), (1 << 63) - 1))])
+    near = own.select(h.alias("h"), "text", "lang").filter(F.col("h") <= F.element_at(below, F.col("lang")))
+    once = near.groupBy("lang", "h").agg(F.min("text").alias("text"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    return once.withColumn("_r", rank).filter(F.col("_r") <= per_language).select("h", "text", "lang")
+
+
 def train(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -184,18 +203,15 @@ def train(
 
     df = summed(own.select("text"), presence, buckets + 1)
     idf = np.log((1 + df[-1]) / (1 + df[:-1])).astype(np.float64) + 1.0
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    picked = own.select("id", "lang").withColumn("r", F.row_number().over(first)).filter(F.col("r") <= per_language).select(F.col("id").alias("_id")).distinct()
-    rows = own.join(F.broadcast(picked), F.col("id") == F.col("_id"), "left_semi").filter("text is not null")
+    sampled = _sample(own.filter("text is not null"), per_language)
 
     def features(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in row_runs(batches, 500):
             got = [gram_counts(t, buckets) for t in batch.column(1).to_pylist()]
             data = [pa.array([x[k].astype(np.int32).tobytes() for x in got], pa.binary()) for k in (0, 1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *data], ["id", "lang", "idx", "n"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *data], ["h", "lang", "idx", "n"])
 
-    kind = rows.schema["id"].dataType.simpleString()
-    got = sorted(rows.mapInArrow(features, f"id {kind}, lang string, idx binary, n binary").collect(), key=lambda r: (r["lang"], str(r["id"])))
+    got = sorted(sampled.mapInArrow(features, "h long, lang string, idx binary, n binary").collect(), key=lambda r: (r["lang"], r["h"]))
     languages = sorted({r["lang"] for r in got})
     samples = []
     for r in got:
