@@ -6,17 +6,21 @@ text that a loss may be taken on.  System turns are context: they are rendered
 in every view under their own role and no one speaks as ``system``.
 
 A turn is one segment ``<|im_start|>role name=speaker\\n text <|im_end|>\\n``.
-Long dialogues are rendered in windows of ``max_turns`` consecutive turns
-(``part`` counts them), so a row has one window and the system turns before it;
-a window's turns are found by the turn number, and windows of one dialogue
-meet in different tasks.  Every participant of the dialogue has a view of each
-of its windows, those without a turn of theirs included, and the system turns
-of earlier windows lead each later one.
+Marks of the template in names and texts are written without their bars, and
+line ends in names as spaces, so nobody's words can be taken for a turn.
+
+A dialogue is rendered whole, in one row a participant; its turns are shuffled
+once.  Only where dialogues may be too long for a row, ``max_turns`` cuts them
+into windows of as many consecutive turn numbers (``part`` counts them, 0 for
+whole dialogues), whose turns meet in different tasks.  Every participant of
+the dialogue then has a view of each of its windows, those without a turn of
+theirs included, and the system turns of earlier windows lead each later one.
 
 Defined results: null roles speak as ``unknown`` and null texts are empty; ties
 on the turn order by role, then by text; repeated rows are rendered each; rows
-with a null dialogue or turn have no place in an order and are left out; an
-empty table gives an empty one; other columns play no part.
+with a null dialogue or turn have no place in an order and are left out; a
+dialogue of system turns only has no participant and no row; an empty table
+gives an empty one; other columns play no part.
 """
 
 from __future__ import annotations
@@ -24,7 +28,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_TURNS = 512
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 
 
@@ -33,32 +36,47 @@ def _plain(text: Column) -> Column:
     return F.replace(F.replace(text, F.lit(OPEN), F.lit("<im_start>")), F.lit(CLOSE), F.lit("<im_end>"))
 
 
-def rotate(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", speaker_col: str = "role", text_col: str = "text", max_turns: int = MAX_TURNS) -> DataFrame:
-    """One row per dialogue, part and participant.
+def _name(who: Column) -> Column:
+    return F.translate(_plain(who), "\r\n", "  ")
 
-    ``conv_id, part, speaker, n_turns, n_own_turns, rendered, mask``: ``mask``
-    lists ``{start, end}`` in characters of ``rendered``, the end not included:
-    the speaker's own words and the mark that ends them.
-    """
-    speaker = F.coalesce(F.col(speaker_col), F.lit("unknown"))
-    rows = turns.filter(F.col(conv_col).isNotNull() & F.col(turn_col).isNotNull()).select(
-        F.col(conv_col).alias("conv_id"),
-        F.floor(F.col(turn_col) / max_turns).cast("long").alias("part"),
-        F.struct(F.col(turn_col).cast("long").alias("turn"), speaker.alias("who"), _plain(F.coalesce(F.col(text_col), F.lit(""))).alias("said")).alias("t"),
-    )
-    # the two narrow tables below are distinct by part first, so a long dialogue is grouped in many tasks
+
+def _windows(rows: DataFrame) -> DataFrame:
+    """``conv_id, part, speaker, turns`` of each window and participant."""
+    # the two narrow tables are distinct by part first, so a long dialogue is grouped in many tasks
     roles = rows.select("conv_id", "part", F.col("t.who").alias("speaker")).distinct()
     speakers = roles.filter("speaker <> 'system'").select("conv_id", "speaker").distinct()
     windows = roles.select("conv_id", "part").distinct()
     early = rows.filter("t.who = 'system'").withColumnRenamed("part", "_from")
     carried = early.join(windows, "conv_id").filter(F.col("_from") < F.col("part")).select("conv_id", "part", "t")
     dialogue = rows.unionByName(carried).groupBy("conv_id", "part").agg(F.array_sort(F.collect_list("t")).alias("turns"))
-    views = dialogue.join(speakers, "conv_id")
+    return dialogue.join(speakers, "conv_id")
+
+
+def rotate(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", speaker_col: str = "role", text_col: str = "text", max_turns: int | None = None) -> DataFrame:
+    """One row per dialogue, part and participant.
+
+    ``conv_id, part, speaker, n_turns, n_own_turns, rendered, mask``: ``mask``
+    lists ``{start, end}`` in characters of ``rendered``, the end not included:
+    the speaker's own words and the mark that ends them.
+    """
+    conv, turn, who, said = (F.col(f"`{c}`") for c in (conv_col, turn_col, speaker_col, text_col))
+    part = F.floor(turn / max_turns).cast("long") if max_turns else F.lit(0).cast("long")
+    rows = turns.filter(conv.isNotNull() & turn.isNotNull()).select(
+        conv.alias("conv_id"),
+        part.alias("part"),
+        F.struct(turn.cast("long").alias("turn"), F.coalesce(who, F.lit("unknown")).alias("who"), _plain(F.coalesce(said, F.lit(""))).alias("said")).alias("t"),
+    )
+    if max_turns:
+        views = _windows(rows)
+    else:
+        dialogue = rows.groupBy("conv_id", "part").agg(F.array_sort(F.collect_list("t")).alias("turns"))
+        speakers = F.array_distinct(F.filter(F.transform("turns", lambda t: t["who"]), lambda w: w != "system"))
+        views = dialogue.withColumn("speaker", F.explode(speakers))
 
     def head(t: Column) -> Column:
         own = F.concat(F.lit(OPEN + "assistant\n"))
         system = F.lit(OPEN + "system\n")
-        other = F.concat(F.lit(OPEN + "user name="), t["who"], F.lit("\n"))
+        other = F.concat(F.lit(OPEN + "user name="), _name(t["who"]), F.lit("\n"))
         return F.when(t["who"] == F.col("speaker"), own).when(t["who"] == "system", system).otherwise(other)
 
     segments = F.transform("turns", lambda t: F.struct(head(t).alias("head"), F.concat(t["said"], F.lit(CLOSE)).alias("body"), (t["who"] == F.col("speaker")).alias("own")))

@@ -102,22 +102,23 @@ SELECT doc_id, unnest(range(n))::INT AS copy, source, n_text::INT AS n_text FROM
 
 OP2_SQL = """
 WITH t AS (
-  SELECT conv_id, turn // 512 AS part, turn, coalesce(role, 'unknown') AS who,
+  SELECT conv_id, turn, coalesce(role, 'unknown') AS who,
+         translate(replace(replace(coalesce(role, 'unknown'), '<|im_start|>', '<im_start>'), '<|im_end|>', '<im_end>'), chr(13) || chr(10), '  ') AS name,
          replace(replace(coalesce(text, ''), '<|im_start|>', '<im_start>'), '<|im_end|>', '<im_end>') AS said
   FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
-sp AS (SELECT DISTINCT conv_id, part, who AS speaker FROM t WHERE who <> 'system'),
+sp AS (SELECT DISTINCT conv_id, who AS speaker FROM t WHERE who <> 'system'),
 v AS (
-  SELECT sp.conv_id, sp.part, speaker, turn, who, said,
-         '<|im_start|>' || CASE WHEN who = speaker THEN 'assistant' WHEN who = 'system' THEN 'system' ELSE 'user name=' || who END || chr(10) AS head
-  FROM sp JOIN t ON sp.conv_id = t.conv_id AND sp.part = t.part),
+  SELECT sp.conv_id, speaker, turn, who, said,
+         '<|im_start|>' || CASE WHEN who = speaker THEN 'assistant' WHEN who = 'system' THEN 'system' ELSE 'user name=' || name END || chr(10) AS head
+  FROM sp JOIN t ON sp.conv_id = t.conv_id),
 e AS (
   SELECT *, length(head) AS h, length(said) + 10 AS b,
-         sum(length(head) + length(said) + 11) OVER (PARTITION BY conv_id, part, speaker ORDER BY turn, who, said ROWS UNBOUNDED PRECEDING)::BIGINT AS stop
+         sum(length(head) + length(said) + 11) OVER (PARTITION BY conv_id, speaker ORDER BY turn, who, said ROWS UNBOUNDED PRECEDING)::BIGINT AS stop
   FROM v)
-SELECT conv_id, part, speaker, count(*)::INT AS n_turns, (count(*) FILTER (who = speaker))::INT AS n_own_turns,
+SELECT conv_id, 0::BIGINT AS part, speaker, count(*)::INT AS n_turns, (count(*) FILTER (who = speaker))::INT AS n_own_turns,
        string_agg(head || said || '<|im_end|>' || chr(10), '' ORDER BY turn, who, said) AS rendered,
        string_agg((stop - 1 - b) || '-' || (stop - 1), ',' ORDER BY turn, who, said) FILTER (who = speaker) AS mask
-FROM e GROUP BY conv_id, part, speaker
+FROM e GROUP BY conv_id, speaker
 """
 
 OP3_SQL = r"""
