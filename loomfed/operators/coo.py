@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import elementwise as E
+from .lineage import cut
 
 
 class ShapeError(ValueError):
@@ -292,13 +293,32 @@ def gather(t: Coo, indices: DataFrame, count: int, axis: int = 0) -> Coo:
     return _take(joined, _moved(t, ax, F.col("_pos")), F.col("v"), dims)
 
 
-def scatter(t: Coo, updates: Coo) -> Coo:
-    """Replaces the elements that ``updates`` has rows for."""
-    new = updates.df.select(*[F.col(c).alias(f"_{c}") for c in t.index], F.col("v").alias("_v"))
+def overwrite(t: Coo, updates: DataFrame) -> Coo:
+    """Replaces the elements that ``updates`` (the index columns and ``v``) has rows for."""
+    new = updates.select(*[F.col(c).alias(f"_{c}") for c in t.index], F.col("v").alias("_v"))
     on = fold(lambda x, y: x & y, [F.col(c) == F.col(f"_{c}") for c in t.index])
     return _take(t.df.join(new, on, "left"), [F.col(c) for c in t.index], F.coalesce("_v", "v"), t.dims)
 
 
+def scatter(t: Coo, indices: Coo, updates: Coo, axis: int = 0) -> Coo:
+    """Puts each element of ``updates`` where it stands, but at ``indices`` along ``axis``.
+
+    Both have one shape, at most that of ``t`` on the other axes.  Negative
+    indices count from the end and one out of range raises; of several updates
+    of one element the last one in row-major order counts.
+    """
+    ax = t.axis(axis)
+    fits = indices.dims == updates.dims and updates.rank == t.rank and all(u <= d for k, (u, d) in enumerate(zip(updates.dims, t.dims, strict=True)) if k != ax)
+    if not fits:
+        raise ShapeError(f"indices {indices.dims} and updates {updates.dims} into {t.dims}")
+    length = t.dims[ax]
+    placed = updates.df.withColumn("_at", _flat(updates)).join(indices.df.withColumnRenamed("v", "_to"), updates.index)
+    outside = (F.col("_to") < -length) | (F.col("_to") >= length)
+    to = F.when(outside, F.raise_error(F.lit("index out of range"))).otherwise(F.pmod(F.floor("_to"), F.lit(length))).cast("long")
+    moved = placed.select(*[to.alias(c) if k == ax else F.col(c) for k, c in enumerate(t.index)], "_at", "v")
+    return overwrite(t, moved.groupBy(*t.index).agg(F.max_by("v", "_at").alias("v")))
+
+
 def batch_normalization(t: Coo, params: DataFrame, epsilon: float = 1e-5) -> Coo:
     """Per-channel (axis 1) normalisation; ``params`` has ``c, scale, bias, mean, var``."""
     joined = t.df.join(params, F.col("i1") == F.col("c"))
@@ -306,48 +326,109 @@ def batch_normalization(t: Coo, params: DataFrame, epsilon: float = 1e-5) -> Coo
     return _take(joined, [F.col(c) for c in t.index], y, t.dims)
 
 
-def layer_normalization(t: Coo, scale: float = 1.0, bias: float = 0.0, axis: int = -1, epsilon: float = 1e-5) -> Coo:
-    """Normalises over the axes from ``axis`` on."""
+def layer_normalization(t: Coo, scale: Coo | float = 1.0, bias: Coo | float = 0.0, axis: int = -1, epsilon: float = 1e-5) -> Coo:
+    """Normalises over the axes from ``axis`` on; ``scale`` and ``bias`` are numbers or tensors of those axes."""
     ax = t.axis(axis)
     df = _with_stats(t, t.index[:ax], F.avg("v").alias("_mean"), F.var_pop("v").alias("_var"))
-    y = (F.col("v") - F.col("_mean")) / F.sqrt(F.col("_var") + epsilon) * F.lit(scale) + F.lit(bias)
+    values = []
+    for name, of in (("_scale", scale), ("_bias", bias)):
+        if isinstance(of, Coo):
+            if of.dims != t.dims[ax:]:
+                raise ShapeError(f"{of.dims} for the axes {t.dims[ax:]}")
+            df = df.join(of.df.select(*[F.col(f"i{k}").alias(f"i{ax + k}") for k in range(of.rank)], F.col("v").alias(name)), t.index[ax:])
+        values.append(F.col(name) if isinstance(of, Coo) else F.lit(of))
+    y = (F.col("v") - F.col("_mean")) / F.sqrt(F.col("_var") + epsilon) * values[0] + values[1]
     return Coo(df.select(*t.index, y.alias("v")), t.dims)
 
 
-def conv1d(t: Coo, weight: Coo, bias: DataFrame | None = None, stride: int = 1, pad: int = 0, dilation: int = 1) -> Coo:
-    """``t``: (n, c, x); ``weight``: (o, c, k).  Each element meets only the kernel taps of its channel."""
-    n, c, size = t.dims
-    o, wc, k = weight.dims
-    if c != wc:
-        raise ShapeError(f"{t.dims} and kernel {weight.dims}")
-    length = (size + 2 * pad - dilation * (k - 1) - 1) // stride + 1
-    taps = weight.df.select(F.col("i0").alias("o"), F.col("i1").alias("c"), F.col("i2").alias("k"), F.col("v").alias("w"))
-    at = F.col("i2") + pad - F.col("k") * dilation
-    met = t.df.join(taps, F.col("i1") == F.col("c")).withColumn("at", at).filter((F.col("at") >= 0) & (F.col("at") % stride == 0) & (F.col("at") < length * stride))
-    out = met.groupBy("i0", "o", F.floor(F.col("at") / stride).alias("p")).agg(F.sum(F.col("v") * F.col("w")).alias("v"))
-    if bias is not None:
-        out = out.join(bias.select(F.col("o").alias("_o"), "b"), F.col("o") == F.col("_o")).withColumn("v", F.col("v") + F.col("b"))
-    return _take(out, [F.col("i0"), F.col("o"), F.col("p")], F.col("v"), (n, o, length))
-
-
-def _pool(t: Coo, kernel: int, stride: int, agg: Callable[[Column], Column]) -> Coo:
-    ax = t.rank - 1
-    length = (t.dims[ax] - kernel) // stride + 1
-    x = F.col(f"i{ax}")
-    first = F.greatest(F.lit(0), F.ceil((x - (kernel - 1)) / stride)).cast("long")
-    last = F.least(F.lit(length - 1), F.floor(x / stride)).cast("long")
-    spread = t.df.filter(first <= last).withColumn("_p", F.explode(F.sequence(first, last)))
-    out = spread.groupBy(*t.index[:ax], "_p").agg(agg(F.col("v")).alias("v"))
-    return _take(out, [*[F.col(c) for c in t.index[:ax]], F.col("_p")], F.col("v"), (*t.dims[:ax], length))
-
-
-def max_pool(t: Coo, kernel: int, stride: int | None = None) -> Coo:
-    """The maximum of each window of the last axis; windows may overlap."""
-    return _pool(t, kernel, stride or kernel, F.max)
+def _per_axis(value: int | Sequence[int] | None, n: int, default: int) -> list[int]:
+    out = [default] * n if value is None else [value] * n if isinstance(value, int) else list(value)
+    if len(out) != n:
+        raise ShapeError(f"{value} for {n} axes")
+    return out
 
 
-def average_pool(t: Coo, kernel: int, stride: int | None = None) -> Coo:
-    return _pool(t, kernel, stride or kernel, F.avg)
+def _pads(pads: int | Sequence[int] | None, n: int) -> tuple[list[int], list[int]]:
+    """What is added before and after each axis: one number, one an axis, or all the befores and then all the afters."""
+    if isinstance(pads, Sequence) and len(pads) == 2 * n:
+        return list(pads[:n]), list(pads[n:])
+    both = _per_axis(pads, n, 0)
+    return both, both
+
+
+def conv(
+    t: Coo,
+    weight: Coo,
+    bias: Coo | None = None,
+    strides: int | Sequence[int] | None = None,
+    pads: int | Sequence[int] | None = None,
+    dilations: int | Sequence[int] | None = None,
+    group: int = 1,
+) -> Coo:
+    """``t``: (n, c, x, ...); ``weight``: (o, c / group, k, ...), over any number of axes.
+
+    Each element meets only the kernel taps of its channel: an equi-join on
+    the group and the channel, and a partial sum by output position.
+    """
+    n, c, *sizes = t.dims
+    o, wc, *ks = weight.dims
+    axes = len(sizes)
+    if len(ks) != axes or group < 1 or c % group or o % group or c // group != wc:
+        raise ShapeError(f"{t.dims} and kernel {weight.dims} in {group} groups")
+    stride, dilation = _per_axis(strides, axes, 1), _per_axis(dilations, axes, 1)
+    before, after = _pads(pads, axes)
+    lengths = [(d + a + b - e * (k - 1) - 1) // s + 1 for d, a, b, e, k, s in zip(sizes, before, after, dilation, ks, stride, strict=True)]
+    if min(lengths, default=1) < 1:
+        raise ShapeError(f"kernel {weight.dims} does not fit {t.dims}")
+    taps = weight.df.select(F.col("i0").alias("o"), F.floor(F.col("i0") / (o // group)).alias("_g"), F.col("i1").alias("_c"), *[F.col(f"i{2 + k}").alias(f"k{k}") for k in range(axes)], F.col("v").alias("w"))
+    own = t.df.withColumn("_g", F.floor(F.col("i1") / wc)).withColumn("_c", F.col("i1") % wc)
+    met = own.join(taps, ["_g", "_c"])
+    for k in range(axes):
+        at = F.col(f"i{2 + k}") + before[k] - F.col(f"k{k}") * dilation[k]
+        met = met.withColumn(f"a{k}", at).filter((F.col(f"a{k}") >= 0) & (F.col(f"a{k}") % stride[k] == 0) & (F.col(f"a{k}") < lengths[k] * stride[k]))
+    places = [F.floor(F.col(f"a{k}") / stride[k]).alias(f"p{k}") for k in range(axes)]
+    parts = met.select(F.col("i0").alias("n"), "o", *places, (F.col("v") * F.col("w")).alias("v"))
+    dims = (n, o, *lengths)
+    if any(e > 1 or a >= k or b >= k for e, a, b, k in zip(dilation, before, after, ks, strict=True)):  # windows may lie in the padding alone
+        zeros_of = fill(t.df.sparkSession, dims, 0.0).df
+        parts = parts.unionByName(zeros_of.select(*[F.col(f"i{k}").alias(x) for k, x in enumerate(["n", "o", *[f"p{k}" for k in range(axes)]])], "v"))
+    out = parts.groupBy("n", "o", *[f"p{k}" for k in range(axes)]).agg(F.sum("v").alias("v"))
+    if bias is not None:
+        out = out.join(bias.df.select(F.col("i0").alias("o"), F.col("v").alias("_b")), "o").withColumn("v", F.col("v") + F.col("_b"))
+    return _take(out, [F.col(x) for x in ("n", "o", *[f"p{k}" for k in range(axes)])], F.col("v"), dims)
+
+
+def _pool(t: Coo, kernel: int | Sequence[int], strides: int | Sequence[int] | None, pads: int | Sequence[int] | None, agg: Callable[[Column, int], Column]) -> Coo:
+    """``agg`` of each window of the last axes, as many as the kernel has; its second argument is the kernel's size."""
+    ks = [kernel] if isinstance(kernel, int) else list(kernel)
+    axes = len(ks)
+    first_axis = t.rank - axes
+    stride = ks if strides is None else _per_axis(strides, axes, 1)
+    before, after = _pads(pads, axes)
+    if first_axis < 0 or any(a >= k or b >= k for a, b, k in zip(before, after, ks, strict=True)):
+        raise ShapeError(f"kernel {ks} with pads {before}, {after} over {t.dims}")
+    dims, spread = list(t.dims), t.df
+    for k in range(axes):
+        ax = first_axis + k
+        length = (t.dims[ax] + before[k] + after[k] - ks[k]) // stride[k] + 1
+        x = F.col(f"i{ax}") + before[k]
+        first = F.greatest(F.lit(0), F.ceil((x - (ks[k] - 1)) / stride[k])).cast("long")
+        last = F.least(F.lit(length - 1), F.floor(x / stride[k])).cast("long")
+        spread = spread.filter(first <= last).withColumn(f"_p{k}", F.explode(F.sequence(first, last)))
+        dims[ax] = length
+    keys = [*t.index[:first_axis], *[f"_p{k}" for k in range(axes)]]
+    out = spread.groupBy(*keys).agg(agg(F.col("v"), math.prod(ks)).alias("v"))
+    return _take(out, [F.col(c) for c in keys], F.col("v"), dims)
+
+
+def max_pool(t: Coo, kernel: int | Sequence[int], strides: int | Sequence[int] | None = None, pads: int | Sequence[int] | None = None) -> Coo:
+    """The maximum of each window of the last axes; windows may overlap, and padding never wins."""
+    return _pool(t, kernel, strides, pads, lambda v, size: F.max(v))
+
+
+def average_pool(t: Coo, kernel: int | Sequence[int], strides: int | Sequence[int] | None = None, pads: int | Sequence[int] | None = None, count_include_pad: bool = False) -> Coo:
+    """The mean of each window, over what it has of the tensor or over its whole size."""
+    return _pool(t, kernel, strides, pads, lambda v, size: F.sum(v) / size if count_include_pad else F.avg(v))
 
 
 def if_(condition: bool, then_branch: Callable[[], Coo], else_branch: Callable[[], Coo]) -> Coo:
@@ -362,5 +443,5 @@ def loop(trips: int, state: Coo, body: Callable[[int, Coo], Coo], keep_going: Ca
             break
         state = body(k, state)
         if (k + 1) % cut_every == 0:
-            state = Coo(state.df.checkpoint(), state.dims)
+            state = Coo(cut(state.df), state.dims)
     return state

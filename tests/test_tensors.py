@@ -137,13 +137,74 @@ def test_normalisation_pooling_convolution_scatter(spark, pair):
     np.testing.assert_allclose(dense(coo.max_pool(x, 3, 2)), np.stack([a[:, 0:3].max(1), a[:, 2:5].max(1)], 1))
     np.testing.assert_allclose(dense(coo.average_pool(x, 2)), a.reshape(4, 3, 2).mean(2))
     kernel = np.array([[[1.0, 2.0, -1.0]], [[0.5, 0.0, 1.0]]])
-    out = dense(coo.conv1d(coo.unsqueeze(x, [1]), coo.constant(spark, kernel.ravel().tolist(), kernel.shape), spark.createDataFrame([(0, 0.5), (1, -0.5)], "o int, b double"), pad=1))
+    out = dense(coo.conv(coo.unsqueeze(x, [1]), coo.constant(spark, kernel.ravel().tolist(), kernel.shape), coo.constant(spark, [0.5, -0.5], (2,)), pads=1))
     padded = np.pad(a, ((0, 0), (1, 1)))
     for o in range(2):
         want = sum(padded[:, k : k + 6] * kernel[o, 0, k] for k in range(3)) + (0.5, -0.5)[o]
         np.testing.assert_allclose(out[:, o], want)
     updated = a.copy()
     updated[1:3] = 7
-    np.testing.assert_allclose(dense(coo.scatter(x, coo.Coo(coo.slice(x, [1], [3], axes=[0]).df.selectExpr("i0 + 1 AS i0", "i1", "7D AS v"), (2, 6)))), updated)
+    np.testing.assert_allclose(dense(coo.overwrite(x, coo.slice(x, [1], [3], axes=[0]).df.selectExpr("i0 + 1 AS i0", "i1", "7D AS v"))), updated)
     grown = coo.loop(9, x, lambda k, t: coo.unary(t, lambda v: v + 1), lambda k, t: k < 9, cut_every=4)
     np.testing.assert_allclose(dense(grown), a + 9)
+
+
+def _convolved(x, w, bias, strides, pads, dilations, group):
+    """Two-dimensional convolution, one output element at a time."""
+    n, c, _, _ = x.shape
+    o, wc, kh, kw = w.shape
+    p = np.pad(x, ((0, 0), (0, 0), (pads[0], pads[2]), (pads[1], pads[3])))
+    lengths = [(p.shape[2 + k] - dilations[k] * (w.shape[2 + k] - 1) - 1) // strides[k] + 1 for k in (0, 1)]
+    out = np.zeros((n, o, *lengths))
+    for b, f, i, j in np.ndindex(out.shape):
+        own = p[b, f // (o // group) * wc :][:wc, i * strides[0] :, j * strides[1] :]
+        out[b, f, i, j] = bias[f] + sum(own[ch, a * dilations[0], d * dilations[1]] * w[f, ch, a, d] for ch, a, d in np.ndindex(wc, kh, kw))
+    return out
+
+
+@pytest.mark.parametrize(("strides", "pads", "dilations", "group"), [((1, 1), (0, 0, 0, 0), (1, 1), 1), ((2, 1), (1, 0, 2, 1), (1, 2), 2), ((1, 2), (3, 3, 3, 3), (2, 2), 4)])
+def test_convolution_in_two_dimensions(spark, strides, pads, dilations, group):
+    rng = np.random.Generator(np.random.PCG64(4))
+    x, w, b = rng.normal(size=(2, 4, 5, 6)), rng.normal(size=(4, 4 // group, 2, 3)), rng.normal(size=4)
+    own = [coo.constant(spark, a.ravel().tolist(), a.shape) for a in (x, w, b)]
+    np.testing.assert_allclose(dense(coo.conv(*own, strides, pads, dilations, group)), _convolved(x, w, b, strides, pads, dilations, group))
+    with pytest.raises(ShapeError):
+        coo.conv(own[0], own[1], group=3)
+
+
+def test_pooling_over_two_axes_with_pads(spark):
+    rng = np.random.Generator(np.random.PCG64(4))
+    x = rng.normal(size=(2, 3, 5, 6)) - 5
+    t = coo.constant(spark, x.ravel().tolist(), x.shape)
+    padded = {fill: np.pad(x, ((0, 0), (0, 0), (1, 0), (2, 1)), constant_values=fill) for fill in (-np.inf, 0.0, np.nan)}
+    lengths = (2, 4)
+
+    def windows(a, fn):
+        return np.stack([np.stack([fn(a[:, :, 2 * i : 2 * i + 3, 2 * j : 2 * j + 3]) for j in range(lengths[1])], -1) for i in range(lengths[0])], -2)
+
+    own = ((3, 3), (2, 2), (1, 2, 0, 1))
+    np.testing.assert_allclose(dense(coo.max_pool(t, *own)), windows(padded[-np.inf], lambda a: a.max((2, 3))))
+    np.testing.assert_allclose(dense(coo.average_pool(t, *own)), windows(padded[np.nan], lambda a: np.nanmean(a, (2, 3))))
+    np.testing.assert_allclose(dense(coo.average_pool(t, *own, count_include_pad=True)), windows(padded[0.0], lambda a: a.mean((2, 3))))
+    with pytest.raises(ShapeError):
+        coo.max_pool(t, (2, 2), (1, 1), (2, 0, 0, 0))
+
+
+def test_scatter_and_layer_normalisation_by_tensors(spark, pair):
+    a, _, x, _ = pair
+    to = np.array([[0, -1], [3, 3], [1, 0], [5, 2]])
+    new = np.arange(8.0).reshape(4, 2)
+    want = a.copy()
+    for i, j in np.ndindex(4, 2):
+        want[i, to[i, j]] = new[i, j]
+    own = [coo.constant(spark, v.ravel().tolist(), v.shape) for v in (to, new)]
+    np.testing.assert_allclose(dense(coo.scatter(x, *own, axis=1)), want)
+    with pytest.raises(Exception, match="out of range"):
+        coo.scatter(x, coo.constant(spark, [6.0], (1, 1)), coo.ones(spark, (1, 1)), axis=1).df.collect()
+    with pytest.raises(ShapeError):
+        coo.scatter(x, own[0], coo.ones(spark, (2, 2)))
+    scale, bias = np.arange(6.0), np.arange(6.0)[::-1].copy()
+    row = [coo.constant(spark, v.tolist(), v.shape) for v in (scale, bias)]
+    np.testing.assert_allclose(dense(coo.layer_normalization(x, *row)), (a - a.mean(1, keepdims=True)) / np.sqrt(a.var(1, keepdims=True) + 1e-5) * scale + bias)
+    with pytest.raises(ShapeError):
+        coo.layer_normalization(x, coo.ones(spark, (5,)))
