@@ -55,29 +55,48 @@ def fit_line(df: DataFrame, x: str, y: str) -> DataFrame:
     return df.agg(F.regr_slope(F.col(y), F.col(x)).alias("slope"), F.regr_intercept(F.col(y), F.col(x)).alias("intercept"))
 
 
+def _place(value: Column, bounds: Sequence[float], low: int = 0, high: int | None = None) -> Column:
+    """How many of the sorted bounds lie below the value, by a tree of comparisons."""
+    high = len(bounds) if high is None else high
+    if low == high:
+        return F.lit(low)
+    mid = (low + high) // 2
+    return F.when(value <= F.lit(bounds[mid]), _place(value, bounds, low, mid)).otherwise(_place(value, bounds, mid + 1, high))
+
+
 @dataclass(frozen=True)
 class BatchSource:
     """Numbered batches of a table, in a defined order.
 
-    Row numbers come from per-range counts: rows are ranked inside buckets of
-    the first order column and offset by the counts of the buckets before, so
-    no task ranks the whole table.
+    The first order column, a number, is cut at its quantiles into as many
+    ranges as the session has shuffle partitions.  Rows are ranked inside their
+    range and offset by the counts of the ranges before, so no task ranks the
+    whole table; only one count a range comes to the driver.
     """
 
     df: DataFrame
     order: Sequence[str]
     size: int
-    bucket_width: int = 4_096
+
+    def numbered(self) -> tuple[DataFrame, int]:
+        """The rows with ``batch_id`` and ``position`` from 0, and their number."""
+        key = F.col(self.order[0])
+        ranges = int(self.df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        cuts = self.df.agg(F.percentile_approx(key, [k / ranges for k in range(1, ranges)] or [0.5], 10_000)).first()[0]
+        place = _place(key, sorted(set(cuts or [])))
+        counts = {r["_b"]: r["n"] for r in self.df.groupBy(place.alias("_b")).agg(F.count(F.lit(1)).alias("n")).collect()}
+        before, total = [], 0
+        for b in sorted(counts):
+            before += [F.lit(b), F.lit(total)]
+            total += counts[b]
+        rank = F.row_number().over(Window.partitionBy("_b").orderBy(*self.order))
+        start = F.element_at(F.create_map(*before), F.col("_b")) if before else F.lit(0)
+        position = (start + rank - 1).cast("long")
+        rows = self.df.withColumn("_b", place).withColumn("position", position)
+        return rows.withColumn("batch_id", F.floor(F.col("position") / self.size)).drop("_b"), total
 
     def batches(self) -> DataFrame:
-        """The rows with ``batch_id`` and ``position`` from 0; the first order column is an integer."""
-        key = self.order[0]
-        rows = self.df.withColumn("_b", F.floor(F.col(key) / self.bucket_width))
-        counts = rows.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
-        before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-        ranked = rows.withColumn("_r", F.row_number().over(Window.partitionBy("_b").orderBy(*self.order)))
-        position = (F.col("_before") + F.col("_r") - 1).cast("long")
-        return ranked.join(before, "_b").withColumn("position", position).withColumn("batch_id", F.floor(position / self.size)).drop("_b", "_r", "_before")
+        return self.numbered()[0]
 
     def next_batch(self, number: int) -> DataFrame:
         return self.batches().filter(F.col("batch_id") == number)

@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Broadcasting the queries is allowed up to this many; beyond it they go in blocks by a shuffle.
+#: Up to this many queries go to every task; more are dealt in blocks of as many, by a shuffle.
 BROADCAST_QUERIES = 4_096
+SHARD_ROWS = 65_536
+STEP_ROWS = 512
+FOUND = "query_id long, vec_id long, distance double"
 
 
 def distance(a: Column, b: Column) -> Column:
@@ -31,21 +37,73 @@ def _nearest(pairs: DataFrame, k: int) -> DataFrame:
     return pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "distance")
 
 
-def search(index: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", query_col: str = "query_id", shards: int = 32) -> DataFrame:
-    """Exact top ``k`` of each query, ties to the smaller id.
-
-    The index is dealt into shards by id and each query visits each shard once,
-    by an equi-join on the shard number: no side has to fit a task.  Each
-    shard's best ``k`` are taken before the global ranking.
+class _Best:
+    """The best ``k`` of each query among the vectors met so far; ties go to the smaller id."""
+
+    def __init__(self, query_ids: np.ndarray, queries: list, k: int) -> None:
+        self.ids, self.k = query_ids, k
+        self.dims = np.array([-1 if q is None else len(q) for q in queries])
+        self.x = {d: np.array([q for q in queries if q is not None and len(q) == d], dtype=np.float64) for d in set(self.dims.tolist()) if d >= 0}
+        self.d, self.v = np.full((len(queries), k), np.inf), np.full((len(queries), k), -1, dtype=np.int64)
+
+    def meet(self, ids: np.ndarray, vectors: list) -> None:
+        dims = np.array([-1 if v is None else len(v) for v in vectors])
+        for dim, q in self.x.items():
+            for at in range(0, len(ids), STEP_ROWS):
+                own = np.flatnonzero(dims[at : at + STEP_ROWS] == dim) + at
+                if not len(own):
+                    continue
+                x = np.array([vectors[i] for i in own], dtype=np.float64)
+                who = np.flatnonzero(self.dims == dim)
+                for part in range(0, len(who), STEP_ROWS):
+                    w = who[part : part + STEP_ROWS]
+                    gap = np.zeros((len(w), len(own)))
+                    for c in range(dim):  # component by component: no array of all differences
+                        gap += (q[part : part + STEP_ROWS, c, None] - x[None, :, c]) ** 2
+                    d = np.concatenate([self.d[w], np.sqrt(gap)], 1)
+                    v = np.concatenate([self.v[w], np.broadcast_to(ids[own], gap.shape)], 1)
+                    top = np.lexsort((v, d), axis=1)[:, : self.k]
+                    self.d[w], self.v[w] = np.take_along_axis(d, top, 1), np.take_along_axis(v, top, 1)
+
+    def found(self) -> dict[str, pa.Array]:
+        ok = np.isfinite(self.d)
+        return {"query_id": pa.array(np.repeat(self.ids, ok.sum(1)), pa.int64()), "vec_id": pa.array(self.v[ok], pa.int64()), "distance": pa.array(self.d[ok], pa.float64())}
+
+
+def search(index: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", query_col: str = "query_id") -> DataFrame:
+    """Exact top ``k`` of each query, ties to the smaller id; ids are integers.
+
+    Each task keeps the best ``k`` of the index rows it reads, so the index is
+    not shuffled and no pair leaves a task.  More than ``BROADCAST_QUERIES``
+    queries are dealt in blocks of as many, the index in shards of
+    ``SHARD_ROWS``, and each block meets each shard in one task.
     """
-    stored = index.select(F.col(id_col).alias("vec_id"), F.col("embedding").alias("_x"), F.pmod(F.xxhash64(id_col), F.lit(shards)).alias("_shard"))
-    asked = queries.select(F.col(query_col).alias("query_id"), F.col("embedding").alias("_q"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("_shard"))
-    if queries.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES:
-        asked = F.broadcast(asked)
-    pairs = stored.join(asked, "_shard").select("query_id", "_shard", "vec_id", distance(F.col("_x"), F.col("_q")).alias("distance"))
-    w = Window.partitionBy("query_id", "_shard").orderBy("distance", "vec_id")
-    best = pairs.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k)
-    return _nearest(best, k)
+    stored = index.select(F.col(id_col).cast("long").alias("vec_id"), F.col("embedding").alias("x")).filter("vec_id is not null")
+    asked = queries.select(F.col(query_col).cast("long").alias("query_id"), F.col("embedding").alias("x")).filter("query_id is not null")
+    few = asked.limit(BROADCAST_QUERIES + 1).collect()
+    if len(few) <= BROADCAST_QUERIES:
+        sent = index.sparkSession.sparkContext.broadcast((np.array([r["query_id"] for r in few], dtype=np.int64), [r["x"] for r in few]))
+
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            best = _Best(*sent.value, k)
+            for batch in batches:
+                best.meet(batch.column(0).to_numpy(), batch.column(1).to_pylist())
+            yield pa.RecordBatch.from_pydict(best.found())
+
+        return _nearest(stored.mapInArrow(run, FOUND), k)
+    blocks, shards = -(-asked.count() // max(BROADCAST_QUERIES, 1)), max(1, -(-stored.count() // SHARD_ROWS))
+    deal = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = stored.withColumn("shard", deal("vec_id", shards)).withColumn("block", every(blocks))
+    right = asked.withColumn("block", deal("query_id", blocks)).withColumn("shard", every(shards))
+
+    def meet(own: pa.Table, asking: pa.Table) -> pa.Table:
+        best = _Best(asking["query_id"].to_numpy(), asking["x"].to_pylist(), k)
+        best.meet(own["vec_id"].to_numpy(), own["x"].to_pylist())
+        return pa.table(best.found())
+
+    keys = ["shard", "block"]
+    return _nearest(left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(meet, FOUND), k)
 
 
 def train(index: DataFrame, lists: int, rounds: int = 10, sample: int = 10_000, id_col: str = "vec_id") -> list[list[float]]:
