@@ -92,13 +92,33 @@ def hold_step(slot: Any, action: str, item: Any) -> tuple[Any, Any]:
 
 def hold(events: DataFrame, key: str = "slot", payload: str = "payload") -> DataFrame:
     """Each flush with ``taken``: the last stash since the flush before, once; null if there is none."""
+    flush = F.col("action") == "flush"
+    w = Window.partitionBy(key).orderBy("ts", "id")
+    parts = events.withColumn("_part", F.sum(flush.cast("int")).over(w) - flush.cast("int"))
+    inside = Window.partitionBy(key, "_part").orderBy("ts", "id")
+    stashed = F.last(F.when(~flush, F.struct(F.col(payload).alias("p"))), ignorenulls=True).over(inside)
+    return parts.withColumn("taken", stashed["p"]).filter(flush).drop("_part")
+
+
+def hold_table_step(slots: dict, action: str, slot: Any, item: Any, cap: int) -> tuple[dict, Any, bool]:
+    """The slots after an action, what a flush takes, and whether a stash was dropped: a new slot beyond ``cap`` is."""
+    if action == "flush":
+        return slots, slots.pop(slot, None), False
+    if slot not in slots and len(slots) >= cap:
+        return slots, None, True
+    slots[slot] = item
+    return slots, None, False
+
+
+def hold_table(events: DataFrame, cap: int = HOLD_CAP, key: str = "node", slot: str = "slot", payload: str = "payload") -> DataFrame:
+    """The slots of a node, at most ``cap`` of them: each event with ``taken`` and ``dropped``."""
     kind = events.schema[payload].dataType.simpleString()
 
-    def step(state: Any, row: dict) -> tuple[Any, dict | None]:
-        state, taken = hold_step(state, row["action"], row[payload])
-        return state, ({"taken": taken} if row["action"] == "flush" else None)
+    def step(state: dict, row: dict) -> tuple[dict, dict]:
+        state, taken, dropped = hold_table_step(state, row["action"], row[slot], row[payload], cap)
+        return state, {"taken": taken, "dropped": dropped}
 
-    return ordered_fold(events, [key], ["ts", "id"], lambda: None, step, f"taken {kind}")
+    return ordered_fold(events, [key], ["ts", "id"], dict, step, f"taken {kind}, dropped boolean")
 
 
 def correlate_tag(df: DataFrame, *by: str) -> DataFrame:
@@ -107,8 +127,9 @@ def correlate_tag(df: DataFrame, *by: str) -> DataFrame:
 
 
 def deadline_check(df: DataFrame, now: Column, deadline: Column) -> tuple[DataFrame, DataFrame]:
-    """Rows before their deadline, and the others with ``reason``."""
-    return df.filter(now < deadline), df.filter(~(now < deadline)).withColumn("reason", F.lit("Timeout"))
+    """Rows before their deadline, and the others with ``reason``; a row without a deadline is before it."""
+    early = F.coalesce(now < deadline, F.lit(True))
+    return df.filter(early), df.filter(~early).withColumn("reason", F.lit("Timeout"))
 
 
 def deadline_match(then: DataFrame, timeouts: DataFrame, on: str = "exec_id") -> DataFrame:
@@ -130,8 +151,14 @@ def app_emit(df: DataFrame, name: str) -> DataFrame:
 app_notify = app_emit
 
 
-def record(df: DataFrame, cap: int = RECORD_CAP, key: str = "name", order: Sequence[str] = ("ts", "id")) -> DataFrame:
-    """The last ``cap`` rows of each name; the rank is limited on the map side."""
+def record(df: DataFrame, cap: int = RECORD_CAP, key: str = "name", order: Sequence[str] = ("ts", "id"), names: int | None = None) -> DataFrame:
+    """The last ``cap`` rows of each name; the rank is limited on the map side.
+
+    With ``names`` only so many names have a ring, those that came first.
+    """
+    if names is not None:
+        first = df.groupBy(key).agg(F.min(F.struct(*order)).alias("_first")).orderBy("_first", key).limit(names)
+        df = df.join(first.select(key), key, "left_semi").select(*df.columns)
     w = Window.partitionBy(key).orderBy(*[F.desc(c) for c in order])
     return df.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= cap).drop("_r")
 

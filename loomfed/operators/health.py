@@ -50,20 +50,39 @@ def dedup_count_window(df: DataFrame, by: str, key: str, size: int = DEDUP_WINDO
     return ordered_fold(df, [by], ["ts", "id"], OrderedDict, step, "passed boolean").drop("passed")
 
 
-def peer_health_gate(df: DataFrame, blocklist: DataFrame, allowlist: DataFrame | None = None, cooling: DataFrame | None = None) -> DataFrame:
+def _as_of(attempts: DataFrame, state: DataFrame) -> DataFrame:
+    """``attempts`` with ``_next``: what the last row of ``state`` up to each attempt's time says.
+
+    ``state``: ``peer, ts_ns, next_retry_ns``, null where a success clears it; at
+    one time the state comes first.  One sorted pass a peer, in bounded memory.
+    """
+    row = F.struct(*[F.col(f"`{c}`") for c in attempts.columns])
+    asked = attempts.select("peer", F.col("ts_ns").alias("_ts"), F.lit(1).alias("_kind"), row.alias("_row"), F.lit(None).cast("struct<at:bigint>").alias("_state"))
+    known = state.select("peer", F.col("ts_ns").alias("_ts"), F.lit(0).alias("_kind"), F.lit(None).cast(asked.schema["_row"].dataType).alias("_row"), F.struct(F.col("next_retry_ns").cast("long").alias("at")).alias("_state"))
+    past = Window.partitionBy("peer").orderBy("_ts", "_kind", F.col("_state.at").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    met = asked.unionByName(known).withColumn("_last", F.last("_state", ignorenulls=True).over(past))
+    return met.filter("_kind = 1").select("_row.*", F.col("_last.at").alias("_next"))
+
+
+def peer_health_gate(df: DataFrame, blocklist: DataFrame, allowlist: DataFrame | None = None, backoff_state: DataFrame | None = None) -> DataFrame:
     """Each row with ``reason``: null passes.  Order: blocked, not allowed, then (sending only) cooling.
 
-    ``cooling`` has ``peer, until_ns`` and is compared with ``ts_ns``.
+    With ``backoff_state`` (``peer, ts_ns, next_retry_ns``) a row is compared
+    with its peer's state at the row's ``ts_ns``, and ``retry_ns`` says when a
+    cooling peer may be tried again.
     """
-    out = df.join(blocklist.select("peer", F.lit(True).alias("_blocked")).distinct(), "peer", "left")
+    out = df if backoff_state is None else _as_of(df, backoff_state)
+    out = out.join(blocklist.select("peer", F.lit(True).alias("_blocked")).distinct(), "peer", "left")
     reason = F.when(F.col("_blocked"), F.lit("Blocked"))
     if allowlist is not None:
         out = out.join(allowlist.select("peer", F.lit(True).alias("_allowed")).distinct(), "peer", "left")
         reason = reason.when(F.col("_allowed").isNull(), F.lit("NotAllowed"))
-    if cooling is not None:
-        out = out.join(cooling.groupBy("peer").agg(F.max("until_ns").alias("_until")), "peer", "left")
-        reason = reason.when(F.col("ts_ns") < F.col("_until"), F.lit("Cooldown"))
-    return out.withColumn("reason", reason).drop("_blocked", "_allowed", "_until")
+    if backoff_state is not None:
+        reason = reason.when(F.col("ts_ns") < F.col("_next"), F.lit("Cooldown"))
+        out = out.withColumn("reason", reason).withColumn("retry_ns", F.when(F.col("reason") == "Cooldown", F.col("_next")))
+    else:
+        out = out.withColumn("reason", reason)
+    return out.drop("_blocked", "_allowed", "_next")
 
 
 def streaks(df: DataFrame, key: str = "peer", ok_col: str = "ok", order: Sequence[str] = ("ts_ns", "id")) -> DataFrame:
@@ -92,9 +111,8 @@ def backoff(df: DataFrame, advisory: str | None = None) -> DataFrame:
 
 
 def backoff_gate(attempts: DataFrame, state: DataFrame) -> DataFrame:
-    """Attempts at or after their peer's next retry; ``state``: ``peer, next_retry_ns``."""
-    last = state.groupBy("peer").agg(F.max("next_retry_ns").alias("_next"))
-    return attempts.join(last, "peer", "left").filter(F.col("_next").isNull() | (F.col("ts_ns") >= F.col("_next"))).drop("_next")
+    """Attempts whose peer may be tried at their time; ``state``: ``peer, ts_ns, next_retry_ns``, null for a success."""
+    return _as_of(attempts, state).filter(F.col("_next").isNull() | (F.col("ts_ns") >= F.col("_next"))).drop("_next")
 
 
 def governor(df: DataFrame, down_after: int = DOWN_AFTER) -> DataFrame:
@@ -187,7 +205,20 @@ def request_tracker(requests: DataFrame, responses: DataFrame, now_ns: int, ttl_
     return out.withColumn("rtt_ns", F.col("_answer") - F.col("ts_ns")).withColumn("status", status).drop("_answer")
 
 
-def outbound_queue(df: DataFrame, cap: int, key: str = "peer", order: Sequence[str] = ("ts", "id")) -> DataFrame:
-    """What an undrained queue still holds: the newest ``cap`` of each peer, oldest first out."""
-    w = Window.partitionBy(key).orderBy(*[F.desc(c) for c in order])
-    return df.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= cap).drop("_r")
+def outbound_queue(events: DataFrame, cap: int | None, key: str = "peer", order: Sequence[str] = ("ts_ns", "id")) -> DataFrame:
+    """Each push with ``status`` and ``drained_by``: a drain takes all that is queued, oldest first.
+
+    ``events``: ``action`` is ``push`` or ``drain``, and rows have an ``id``.
+    Beyond ``cap`` the oldest goes (``dropped``); what no drain has taken yet is
+    ``queued``.  Between two drains the newest ``cap`` pushes stay.
+    """
+    w = Window.partitionBy(key).orderBy(*order)
+    drain = F.col("action") == "drain"
+    marked = events.withColumn("_part", F.sum(drain.cast("int")).over(w) - drain.cast("int"))
+    last_first = Window.partitionBy(key, "_part").orderBy(drain.cast("int"), *[F.desc(c) for c in order])
+    whole = Window.partitionBy(key, "_part")
+    out = marked.withColumn("_r", F.row_number().over(last_first)).withColumn("drained_by", F.max(F.when(drain, F.col("id"))).over(whole))
+    kept = F.lit(True) if cap is None else F.col("_r") <= cap
+    status = F.when(~kept, "dropped").when(F.col("drained_by").isNull(), "queued").otherwise("shipped")
+    out = out.filter(~drain).withColumn("status", status)
+    return out.withColumn("drained_by", F.when(F.col("status") == "shipped", F.col("drained_by"))).drop("_part", "_r")

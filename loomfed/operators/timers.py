@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import heapq
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .folds import ordered_fold
+
 PERIOD_NS = 1_000_000_000
 SCHEDULER_CAP = 65_536
 
@@ -50,8 +54,10 @@ def clock() -> Column:
 
 
 def rng_u64(seed: int, *by: Column) -> Column:
-    """A reproducible random 64-bit number of each row."""
-    return F.xxhash64(F.lit(seed), *by)
+    """A reproducible random 64-bit number of each row, signed: the first half of the MD5 of the seed and the columns."""
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), *[c.cast("string") for c in by]))
+    halves = [F.conv(F.substring(digest, at, 8), 16, 10).cast("long") for at in (1, 9)]
+    return F.shiftleft(halves[0], 32).bitwiseOR(halves[1])
 
 
 def lifecycle_phase(steps: DataFrame, phase: str) -> DataFrame:
@@ -69,11 +75,30 @@ def bootstrap_output(commands: DataFrame, completions: DataFrame) -> DataFrame:
     return commands.join(completions, "cmd")
 
 
-def schedule(timers: DataFrame, cap: int = SCHEDULER_CAP) -> tuple[DataFrame, DataFrame]:
-    """Timers ``seq, maturity_ns`` that fit the scheduler and those dropped: past the cap, new ones go.
+Heap = list[tuple[int, int]]
+
+
+def schedule_step(heap: Heap, action: str, ts_ns: int, maturity_ns: int, timer: int, cap: int) -> tuple[Heap, list[int], bool]:
+    """The heap after an action, the timers that a poll fires, oldest first, and whether a new timer was dropped."""
+    if action == "poll":
+        fired = []
+        while heap and heap[0][0] <= ts_ns:
+            fired.append(heapq.heappop(heap)[1])
+        return heap, fired, False
+    if len(heap) >= cap:
+        return heap, [], True
+    heapq.heappush(heap, (maturity_ns, timer))
+    return heap, [], False
 
-    A timer counts as standing until the scheduler drains, so the first
-    ``cap`` to arrive stay.
+
+def scheduler(events: DataFrame, cap: int = SCHEDULER_CAP, key: str = "node") -> DataFrame:
+    """Each event with ``fired`` (polls) and ``dropped`` (new timers while the heap holds ``cap``).
+
+    ``events``: ``node, ts_ns, id, action, maturity_ns``; ``schedule`` adds the
+    timer ``id`` and ``poll`` takes those that have matured at its time.
     """
-    head = timers.orderBy("seq").limit(cap)
-    return head, timers.join(head.select("seq"), "seq", "left_anti")
+    def step(heap: Heap, row: dict) -> tuple[Heap, dict]:
+        heap, fired, dropped = schedule_step(heap, row["action"], row["ts_ns"], row["maturity_ns"], row["id"], cap)
+        return heap, {"fired": fired, "dropped": dropped}
+
+    return ordered_fold(events, [key], ["ts_ns", "id"], list, step, "fired array<long>, dropped boolean")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -100,9 +101,8 @@ FLAT_SQL = """m AS (SELECT i0, generate_subscripts(embedding, 1) - 1 AS i1, unne
 
 
 def _matrix(spark: SparkSession, sf_dir: str) -> Coo:
-    batches = models.BatchSource(table(spark, sf_dir, "embeddings"), ["vec_id"], 1).batches()
-    rows = table(spark, sf_dir, "embeddings").count()
-    return coo.from_arrays(batches, "embedding", "position", rows, 64)
+    numbered, rows = models.BatchSource(table(spark, sf_dir, "embeddings"), ["vec_id"], 1).numbered()
+    return coo.from_arrays(numbered, "embedding", "position", rows, 64)
 
 
 def _tensor_query(name: str, sql: str, fn: Callable[[Coo], Coo], places: int = 6) -> None:
@@ -151,11 +151,58 @@ _tensor_query("batch_normalization", "SELECT i0, i1, round((v - avg(v) OVER w) /
 _tensor_query("layer_normalization", "SELECT i0, i1, round((v - avg(v) OVER w) / sqrt(var_pop(v) OVER w + 1e-5), 6) + 0.0 AS v FROM m WINDOW w AS (PARTITION BY i0)", coo.layer_normalization)
 _tensor_query("max_pool", "SELECT i0, p AS i1, round(max(v), 6) + 0.0 AS v FROM m, range(31) t(p) WHERE i1 BETWEEN 2 * p AND 2 * p + 3 GROUP BY i0, p", lambda m: coo.max_pool(m, 4, 2))
 _tensor_query("average_pool", "SELECT i0, i1 // 4 AS i1, round(avg(v), 6) + 0.0 AS v FROM m GROUP BY ALL", lambda m: coo.average_pool(m, 4))
+#: The first eight columns, negated, go to the columns 0, 3, ... 21, and in odd rows to the last one, the fourth last and so on.
 _tensor_query(
     "scatter",
-    "SELECT i0, i1, round(CASE WHEN i1 < 8 THEN -1 ELSE v END, 6) + 0.0 AS v FROM m",
-    lambda m: coo.scatter(m, coo.unary(coo.slice(m, [0], [8], axes=[1]), lambda v: v * 0 - 1)),
+    """, u AS (SELECT i0, CASE WHEN i0 % 2 = 1 THEN 63 - 3 * i1 ELSE 3 * i1 END AS to_i, -v AS w FROM m WHERE i1 < 8)
+    SELECT m.i0, i1, round(coalesce(w, v), 6) + 0.0 AS v FROM m LEFT JOIN u ON m.i0 = u.i0 AND i1 = to_i""",
+    lambda m: _scattered(m),
 )
+_tensor_query(
+    "layer_normalization_scaled",
+    "SELECT i0, i1, round((v - avg(v) OVER w) / sqrt(var_pop(v) OVER w + 1e-5) * (1 + i1 / 64) + (i1 - 32), 6) + 0.0 AS v FROM m WINDOW w AS (PARTITION BY i0)",
+    lambda m: _layer_norm(m),
+)
+_tensor_query(
+    "max_pool_2d",
+    """SELECT i0, 0 AS i1, p AS i2, q AS i3, round(max(v), 6) + 0.0 AS v FROM m, range(4) a(p), range(5) b(q)
+    WHERE i1 // 8 + 1 BETWEEN 2 * p AND 2 * p + 2 AND i1 % 8 + 1 BETWEEN 2 * q AND 2 * q + 1 GROUP BY i0, p, q""",
+    lambda m: coo.max_pool(coo.reshape(m, (-1, 1, 8, 8)), (3, 2), (2, 2), (1, 1, 0, 1)),
+)
+_tensor_query(
+    "average_pool_2d",
+    """SELECT i0, 0 AS i1, p AS i2, q AS i3, round(sum(v) / 9, 6) + 0.0 AS v FROM m, range(8) a(p), range(4) b(q)
+    WHERE abs(i1 // 8 - p) <= 1 AND abs(i1 % 8 - 2 * q) <= 1 GROUP BY i0, p, q""",
+    lambda m: coo.average_pool(coo.reshape(m, (-1, 1, 8, 8)), (3, 3), (1, 2), (1, 1, 1, 1), count_include_pad=True),
+)
+_tensor_query(
+    "conv",
+    """, x AS (SELECT i0, i1 // 16 AS c, (i1 % 16) // 4 AS y, i1 % 4 AS z, v FROM m),
+    w AS (SELECT o, lc, a, b, (o - lc + 2.0 * a - b) AS w, o // 3 AS g FROM range(6) t1(o), range(2) t2(lc), range(2) t3(a), range(2) t4(b)),
+    k AS (SELECT i0, o, y + 1 - 2 * a AS p, z + 1 - b AS q, v * w AS v FROM x JOIN w ON c // 2 = g AND c % 2 = lc)
+    SELECT i0, o AS i1, p AS i2, q // 2 AS i3, round(sum(v) + o * 0.5, 6) + 0.0 AS v FROM k WHERE p BETWEEN 0 AND 3 AND q >= 0 AND q % 2 = 0 AND q < 6 GROUP BY i0, o, p, q // 2""",
+    lambda m: _conv_2d(m),
+)
+
+
+def _scattered(m: Coo) -> Coo:
+    few = coo.slice(m, [0], [8], axes=[1])
+    odd = F.col("i0") % 2 == 1
+    places = Coo(few.df.withColumn("v", F.when(odd, -1.0 - 3 * F.col("i1")).otherwise(3.0 * F.col("i1"))), few.dims)
+    return coo.scatter(m, places, coo.unary(few, lambda v: -v), axis=1)
+
+
+def _layer_norm(m: Coo) -> Coo:
+    spark = m.df.sparkSession
+    return coo.layer_normalization(m, coo.constant(spark, [1 + k / 64 for k in range(64)], (64,)), coo.constant(spark, [k - 32 for k in range(64)], (64,)))
+
+
+def _conv_2d(m: Coo) -> Coo:
+    """Four channels of 4 x 4 in two groups, three kernels of 2 x 2 a group."""
+    spark = m.df.sparkSession
+    kernel = [o - c + 2.0 * a - b for o in range(6) for c in range(2) for a in range(2) for b in range(2)]
+    bias = coo.constant(spark, [o * 0.5 for o in range(6)], (6,))
+    return coo.conv(coo.reshape(m, (-1, 4, 4, 4)), coo.constant(spark, kernel, (6, 2, 2, 2)), bias, strides=(1, 2), pads=(1, 1, 1, 1), dilations=(2, 1), group=2)
 
 
 def _batch_norm(m: Coo) -> Coo:
@@ -177,7 +224,7 @@ def gather(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def conv1d(spark: SparkSession, sf_dir: str) -> DataFrame:
     kernel = coo.constant(spark, [-1.0, 0.0, 1.0], (1, 1, 3))
-    out = coo.conv1d(coo.unsqueeze(_matrix(spark, sf_dir), [1]), kernel, stride=2, pad=1)
+    out = coo.conv(coo.unsqueeze(_matrix(spark, sf_dir), [1]), kernel, strides=2, pads=1)
     return out.df.select("i0", "i1", "i2", (F.round("v", 6) + 0.0).alias("v"))
 
 
@@ -190,7 +237,7 @@ def constants(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("if_loop", f"WITH {FLAT_SQL} SELECT i1 AS i0, round(sum(v) * 8, 6) + 0.0 AS v FROM m GROUP BY i1")
 def if_loop(spark: SparkSession, sf_dir: str) -> DataFrame:
     start = coo.reduce_sum(_matrix(spark, sf_dir), [0])
-    out = coo.loop(10, start, lambda k, t: coo.if_(k < 3, lambda: coo.unary(t, lambda v: v * 2), lambda: t), lambda k, t: k < 5)
+    out = coo.loop(10, start, lambda k, t: coo.if_(k < 3, lambda: coo.unary(t, lambda v: v * 2), lambda: t), lambda k, t: k < 9)
     return out.df.select("i0", (F.round("v", 6) + 0.0).alias("v"))
 
 
@@ -233,6 +280,16 @@ def fedavg_hierarchical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return federated.hierarchical(good, "group").withColumn("v", F.round("v", 4))
 
 
+@query("fedavg_nan", "WITH c AS (SELECT year(o_orderdate) * 12 + month(o_orderdate) AS round, o_custkey AS peer, o_orderkey AS seq, CASE WHEN o_orderkey % 97 = 0 THEN 'nan'::DOUBLE WHEN o_orderkey % 89 = 0 THEN 'inf'::DOUBLE ELSE o_totalprice END AS v FROM orders), g AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY round, peer ORDER BY seq DESC) = 1) SELECT round, isnan(sum(v)) AS is_nan, isinf(sum(v)) AS is_inf, count(*) AS num_samples FROM g GROUP BY round")
+def fedavg_nan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """NaN and infinity poison the rounds that they come in, and no others."""
+    price = F.when(F.col("o_orderkey") % 97 == 0, float("nan")).when(F.col("o_orderkey") % 89 == 0, float("inf")).otherwise(F.col("o_totalprice"))
+    rows = table(spark, sf_dir, "orders").select(
+        (F.year("o_orderdate") * 12 + F.month("o_orderdate")).alias("round"), F.col("o_custkey").alias("peer"), F.col("o_orderkey").alias("seq"), F.lit(0).alias("i"), price.alias("v"), F.lit(1).alias("num_samples"),
+    )
+    return federated.fedavg(rows).select("round", F.isnan("v").alias("is_nan"), (F.abs("v") == float("inf")).alias("is_inf"), "num_samples")
+
+
 # --- vector index, codec, model, batches ------------------------------------------------------------------
 
 def _distance_sql(a: str, b: str) -> str:
@@ -268,10 +325,10 @@ def index_add(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_index.add(v, new).select("vec_id", "label", F.size("embedding").alias("dim"))
 
 
-@query("index_ivf")
+@query("index_ivf", _knn_sql("SELECT * FROM embeddings"))
 def index_ivf(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = table(spark, sf_dir, "embeddings")
-    return vector_index.search_ivf(v, _queries(v), vector_index.train(v, 8), 5, probes=4)
+    return vector_index.search_ivf(v, _queries(v), vector_index.train(v, 8), 5, probes=4).withColumn("distance", F.round("distance", 6))
 
 
 CODEC_SQL = f"""WITH {FLAT_SQL.replace('SELECT i0, generate', 'SELECT i0, vec_id, generate').replace('AS i0, embedding FROM', 'AS i0, vec_id, embedding FROM')},
@@ -380,9 +437,39 @@ def registry_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return peers.registry_sample(peers.register(_announces(spark, sf_dir), 24 * HOUR_NS)[0], NOW_NS, 15, 3)
 
 
-@query("handshake", "SELECT DISTINCT user_id AS peer, 90000000000 AS ttl_ns, 30000000000 AS heartbeat_ns, 'server' AS server FROM events")
+@query(
+    "constant_view",
+    """WITH v AS (SELECT DISTINCT unnest([5, 3, 3, 9, 12, 7])::BIGINT AS peer)
+    SELECT 'random' AS kind, peer FROM (SELECT peer FROM v ORDER BY md5('11|' || peer), peer LIMIT 3)
+    UNION ALL SELECT 'near', peer FROM (SELECT peer FROM v ORDER BY xor(peer, 13), peer LIMIT 2) UNION ALL SELECT 'all', peer FROM v""",
+)
+def constant_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    view = peers.ConstantView(spark, [5, 3, 3, 9, 12, 7])
+    parts = [("random", view.random(3, 11)), ("near", view.near(13, 2)), ("all", view.current())]
+    return reduce(DataFrame.unionByName, [df.select(F.lit(kind).alias("kind"), "peer") for kind, df in parts])
+
+
+@query("handshake", "SELECT DISTINCT user_id AS peer, 90000000000 AS ttl_ns, 30000000000 AS heartbeat_ns, 'server' AS server, '/a,/b' AS addresses FROM events")
 def handshake(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return peers.handshake(peers.current_view(events(spark, sf_dir)))
+    answers = peers.handshake(peers.current_view(events(spark, sf_dir)), addresses=["/a", "/b"])
+    return answers.withColumn("addresses", F.array_join("addresses", ","))
+
+
+@query(
+    "handshake_merge",
+    """WITH b AS (SELECT s_nationkey AS client, 'p' || (s_suppkey % 3) AS peer, list_sort(list_distinct(list('/p2p/' || (s_suppkey % 10)))) AS addresses, count(*) AS refs FROM supplier WHERE s_nationkey < 20 GROUP BY ALL),
+    a AS (SELECT n_nationkey AS client, 'p0' AS peer, ['/p2p/3', '/srv'] AS new FROM nation WHERE n_nationkey % 2 = 0)
+    SELECT coalesce(a.client, b.client) AS client, coalesce(a.peer, b.peer) AS peer, coalesce(refs, 0) + (new IS NOT NULL)::INT AS refs,
+           array_to_string(list_concat(coalesce(addresses, []), list_filter(coalesce(new, []), lambda x: NOT list_contains(coalesce(addresses, []), x))), ',') AS addresses
+    FROM b FULL JOIN a ON a.client = b.client AND a.peer = b.peer""",
+)
+def handshake_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every second nation hears from the server ``p0``; the others get an answer without addresses."""
+    rows = table(spark, sf_dir, "supplier").filter("s_nationkey < 20").select(F.col("s_nationkey").alias("client"), F.concat(F.lit("p"), F.col("s_suppkey") % 3).alias("peer"), F.concat(F.lit("/p2p/"), F.col("s_suppkey") % 10).alias("address"))
+    books = rows.groupBy("client", "peer").agg(F.sort_array(F.collect_set("address")).alias("addresses"), F.count(F.lit(1)).alias("refs"))
+    nations = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("peer"))
+    answers = peers.handshake(nations.filter("peer % 2 = 0"), server="p0", addresses=["/p2p/3", "/srv"]).unionByName(peers.handshake(nations.filter("peer % 2 = 1"), server="p0"))
+    return peers.merge_handshakes(books, answers).withColumn("addresses", F.array_join("addresses", ","))
 
 
 @query(
@@ -421,10 +508,39 @@ def address_book_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return peers.lookup(wanted, book).select("peer", F.coalesce(F.size("addresses"), F.lit(0)).alias("n"), "status")
 
 
-@query("address_book_references", f"WITH {EV_SQL}, c AS (SELECT peer, max((ts_ns, id)) AS c FROM ev WHERE event_type = 'signup' GROUP BY peer) SELECT ev.peer, sum(CASE event_type WHEN 'view' THEN 1 WHEN 'click' THEN -1 ELSE 0 END)::BIGINT AS refs FROM ev LEFT JOIN c ON ev.peer = c.peer WHERE c IS NULL OR (ts_ns, id) > c GROUP BY ev.peer HAVING refs > 0")
+def _book_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Actions on 25 books that hold four peers each; some come without addresses, some for unknown peers."""
+    kind = F.col("event_type")
+    action = F.when(kind.isin("view", "purchase"), "add").when(kind == "click", "drop").when(kind == "signup", "register").otherwise("forget")
+    given = F.when(F.col("id") % 11 == 0, F.array().cast("array<string>")).otherwise(F.array(F.concat(F.lit("/p2p/"), F.col("id") % 5)))
+    return events(spark, sf_dir).select(F.pmod("peer", F.lit(25)).alias("book"), F.col("ts_ns").alias("ts"), "id", "peer", action.alias("action"), given.alias("given"))
+
+
+MACHINE_SQL = f"""WITH RECURSIVE {EV_SQL}, a AS (SELECT peer % 25 AS book, ts_ns, id, peer,
+      CASE WHEN event_type IN ('view', 'purchase') THEN 'add' WHEN event_type = 'click' THEN 'drop' WHEN event_type = 'signup' THEN 'register' ELSE 'forget' END AS action,
+      CASE WHEN id % 11 = 0 THEN []::VARCHAR[] ELSE ['/p2p/' || (id % 5)] END AS given FROM ev),
+    o AS (SELECT *, row_number() OVER (PARTITION BY book ORDER BY ts_ns, id) AS rn FROM a),
+    f AS (SELECT book, 0::BIGINT AS rn, 0::BIGINT AS id, 0::BIGINT AS peer, '' AS status, []::STRUCT(peer BIGINT, refs BIGINT, a VARCHAR[])[] AS q FROM (SELECT DISTINCT book FROM o)
+      UNION ALL SELECT book, rn, id, peer, status,
+        CASE WHEN status <> 'ok' THEN q
+             WHEN action = 'drop' AND e.refs = 1 THEN others
+             WHEN action = 'drop' THEN list_append(others, {{'peer': peer, 'refs': e.refs - 1, 'a': e.a}})
+             WHEN action = 'add' THEN list_append(others, {{'peer': peer, 'refs': coalesce(e.refs, 0) + 1, 'a': list_concat(coalesce(e.a, []), list_filter(given, lambda x: NOT list_contains(coalesce(e.a, []), x)))}})
+             WHEN action = 'register' THEN list_append(others, {{'peer': peer, 'refs': e.refs, 'a': list_concat(e.a, list_filter(given, lambda x: NOT list_contains(e.a, x)))}})
+             ELSE list_append(others, {{'peer': peer, 'refs': e.refs, 'a': list_filter(e.a, lambda x: NOT list_contains(given, x))}}) END
+      FROM (SELECT *, CASE WHEN action = 'add' AND len(given) = 0 THEN 'EmptyAddressList' WHEN action = 'add' AND e IS NULL AND len(q) >= 4 THEN 'Full' WHEN action <> 'add' AND e IS NULL THEN 'UnknownPeer' ELSE 'ok' END AS status
+        FROM (SELECT o.book, o.rn, o.id, o.peer, o.action, o.given, f.q, list_filter(f.q, lambda x: x.peer = o.peer)[1] AS e, list_filter(f.q, lambda x: x.peer <> o.peer) AS others FROM f JOIN o ON o.book = f.book AND o.rn = f.rn + 1))),
+    r AS (SELECT *, list_filter(q, lambda x: x.peer = f.peer)[1] AS e FROM f WHERE rn > 0)"""
+
+
+@query("address_book", MACHINE_SQL + " SELECT id, status, coalesce(e.refs, 0) AS refs, array_to_string(coalesce(e.a, []), ',') AS addresses FROM r")
+def address_book(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return peers.address_book(_book_events(spark, sf_dir), 4).select("id", "status", "refs", F.array_join("addresses", ",").alias("addresses"))
+
+
+@query("address_book_references", MACHINE_SQL + " SELECT book, peer, e.refs AS refs, array_to_string(e.a, ',') AS addresses FROM (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY book, peer ORDER BY rn DESC) = 1) WHERE e IS NOT NULL")
 def address_book_references(spark: SparkSession, sf_dir: str) -> DataFrame:
-    action = F.when(F.col("event_type") == "view", "add").when(F.col("event_type") == "click", "drop").when(F.col("event_type") == "signup", "forget").otherwise("-")
-    return peers.reference_counts(events(spark, sf_dir).withColumn("action", action).withColumn("ts", F.col("ts_ns")))
+    return peers.reference_counts(peers.address_book(_book_events(spark, sf_dir), 4)).withColumn("addresses", F.array_join("addresses", ","))
 
 
 # --- exchange and composites ------------------------------------------------------------------------------
@@ -511,7 +627,7 @@ def pulse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return timers.pulse(spark)
 
 
-@query("clock_rng")
+@query("clock_rng", f"WITH {EV_SQL}, u AS (SELECT id, ('0x' || substr(md5('5|' || id), 1, 16))::UBIGINT::HUGEINT AS u FROM ev) SELECT id, (CASE WHEN u >= 9223372036854775808 THEN u - 18446744073709551616 ELSE u END)::BIGINT AS r, true AS ticking FROM u")
 def clock_rng(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events(spark, sf_dir).select("id", timers.rng_u64(5, F.col("id")).alias("r"), (timers.clock() > 0).alias("ticking"))
 
@@ -531,10 +647,22 @@ def bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return timers.bootstrap_output(commands.join(done.distinct(), "cmd", "left_semi"), with_cmd).select("o_orderkey", "l_linenumber")
 
 
-@query("scheduler", "SELECT o_orderkey AS seq FROM orders ORDER BY o_orderkey LIMIT 1000")
+@query(
+    "scheduler",
+    f"""WITH RECURSIVE {EV_SQL}, o AS (SELECT peer % 30 AS node, id, ts_ns, event_type IN ('purchase', 'signup') AS poll, ts_ns + (id % 5) * {12 * HOUR_NS} AS m, row_number() OVER (PARTITION BY peer % 30 ORDER BY ts_ns, id) AS rn FROM ev),
+    f AS (SELECT node, 0::BIGINT AS rn, 0::BIGINT AS id, []::BIGINT[] AS fired, false AS dropped, []::STRUCT(m BIGINT, t BIGINT)[] AS q FROM (SELECT DISTINCT node FROM o)
+      UNION ALL SELECT o.node, o.rn, o.id,
+        CASE WHEN poll THEN list_transform(list_sort(list_filter(q, lambda x: x.m <= o.ts_ns)), lambda x: x.t) ELSE [] END,
+        NOT poll AND len(q) >= 6,
+        CASE WHEN poll THEN list_filter(q, lambda x: x.m > o.ts_ns) WHEN len(q) >= 6 THEN q ELSE list_append(q, {{'m': o.m, 't': o.id}}) END
+      FROM f JOIN o ON o.node = f.node AND o.rn = f.rn + 1)
+    SELECT id, array_to_string(fired, ',') AS fired, dropped FROM f WHERE rn > 0""",
+)
 def scheduler(spark: SparkSession, sf_dir: str) -> DataFrame:
-    timers_ = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("seq"), (F.col("o_orderkey") * 7).alias("maturity_ns"))
-    return timers.schedule(timers_, 1000)[0].select("seq")
+    """Thirty nodes whose heaps hold six timers; some events poll, the others schedule."""
+    action = F.when(F.col("event_type").isin("purchase", "signup"), "poll").otherwise("schedule")
+    own = events(spark, sf_dir).withColumns({"node": F.pmod("peer", F.lit(30)), "action": action, "maturity_ns": F.col("ts_ns") + F.col("id") % 5 * F.lit(12 * HOUR_NS)})
+    return timers.scheduler(own, 6).select("id", F.array_join("fired", ",").alias("fired"), "dropped")
 
 
 # --- coordination -----------------------------------------------------------------------------------------
@@ -600,6 +728,21 @@ def hold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coordination.hold(acts).select("id", F.coalesce("taken", F.lit(-1)).alias("taken"))
 
 
+@query(
+    "hold_table",
+    f"""WITH RECURSIVE {EV_SQL}, o AS (SELECT peer % 30 AS node, peer AS slot, id, event_type IN ('purchase', 'signup') AS flush, row_number() OVER (PARTITION BY peer % 30 ORDER BY ts_ns, id) AS rn FROM ev),
+    f AS (SELECT node, 0::BIGINT AS rn, 0::BIGINT AS id, -1::BIGINT AS taken, false AS dropped, []::STRUCT(slot BIGINT, item BIGINT)[] AS q FROM (SELECT DISTINCT node FROM o)
+      UNION ALL SELECT node, rn, id, CASE WHEN flush THEN coalesce(e.item, -1) ELSE -1 END, NOT flush AND e IS NULL AND len(q) >= 2,
+        CASE WHEN flush THEN others WHEN e IS NULL AND len(q) >= 2 THEN q ELSE list_append(others, {{'slot': slot, 'item': id}}) END
+      FROM (SELECT o.node, o.rn, o.id, o.slot, o.flush, f.q, list_filter(f.q, lambda x: x.slot = o.slot)[1] AS e, list_filter(f.q, lambda x: x.slot <> o.slot) AS others FROM f JOIN o ON o.node = f.node AND o.rn = f.rn + 1))
+    SELECT id, taken, dropped FROM f WHERE rn > 0""",
+)
+def hold_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Thirty nodes with two slots each: a new slot beyond them is dropped."""
+    acts = _acts(spark, sf_dir, ("purchase", "signup"), "flush", "stash").withColumnRenamed("name", "slot").withColumn("node", F.pmod("slot", F.lit(30)))
+    return coordination.hold_table(acts, 2).select("id", F.coalesce("taken", F.lit(-1)).alias("taken"), "dropped")
+
+
 @query("correlate_tag", f"WITH {EV_SQL} SELECT id, md5(peer || '|' || id) AS token FROM ev")
 def correlate_tag(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coordination.correlate_tag(events(spark, sf_dir), "peer", "id").select("id", "token")
@@ -632,6 +775,11 @@ def record_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coordination.record(events(spark, sf_dir), 5, "peer", ["ts_ns", "id"]).select("id", "peer")
 
 
+@query("record_names", f"WITH {EV_SQL}, n AS (SELECT peer FROM ev GROUP BY peer ORDER BY min((ts_ns, id)) LIMIT 20) SELECT id, peer FROM ev WHERE peer IN (SELECT peer FROM n) QUALIFY row_number() OVER (PARTITION BY peer ORDER BY ts_ns DESC, id DESC) <= 5")
+def record_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return coordination.record(events(spark, sf_dir), 5, "peer", ["ts_ns", "id"], names=20).select("id", "peer")
+
+
 @query("incr_metric", "SELECT event_type AS name, count(*) AS total FROM events GROUP BY ALL")
 def incr_metric(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coordination.incr_metric(events(spark, sf_dir).withColumnRenamed("event_type", "name"))
@@ -645,21 +793,39 @@ def dedup_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return health.dedup_gate(d).select("id", "src_peer")
 
 
-@query("dedup_count_window", f"WITH {EV_SQL} SELECT id, peer, event_type FROM ev QUALIFY row_number() OVER (PARTITION BY peer, event_type ORDER BY ts_ns, id) = 1")
+@query(
+    "dedup_count_window",
+    f"""WITH RECURSIVE {ORDERED_SQL}, f AS (SELECT peer, rn, id, event_type, [event_type] AS q, true AS new FROM o WHERE rn = 1
+      UNION ALL SELECT o.peer, o.rn, o.id, o.event_type,
+        CASE WHEN list_contains(q, o.event_type) THEN q WHEN len(q) >= 3 THEN list_append(q[2:], o.event_type) ELSE list_append(q, o.event_type) END, NOT list_contains(q, o.event_type)
+      FROM f JOIN o ON o.peer = f.peer AND o.rn = f.rn + 1)
+    SELECT id, peer, event_type FROM f WHERE new""",
+)
 def dedup_count_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return health.dedup_count_window(events(spark, sf_dir).withColumn("ts", F.col("ts_ns")), "peer", "event_type").select("id", "peer", "event_type")
+    """A window of three of the five kinds, so that it fills."""
+    return health.dedup_count_window(events(spark, sf_dir).withColumn("ts", F.col("ts_ns")), "peer", "event_type", 3).select("id", "peer", "event_type")
+
+
+def _backoff_state(e: DataFrame, hours: int) -> DataFrame:
+    """An error bars its peer for some hours, a purchase clears it."""
+    next_retry = F.when(~F.col("ok"), F.col("ts_ns") + hours * HOUR_NS)
+    return e.filter("event_type in ('error', 'purchase')").select("peer", "ts_ns", next_retry.alias("next_retry_ns"))
+
+
+def _as_of_sql(hours: int) -> str:
+    return f"""WITH {EV_SQL}, st AS (SELECT peer, ts_ns, CASE WHEN NOT ok THEN ts_ns + {hours * HOUR_NS} END AS next FROM ev WHERE event_type IN ('error', 'purchase')),
+    t AS (SELECT ev.*, (SELECT s.next FROM st s WHERE s.peer = ev.peer AND s.ts_ns <= ev.ts_ns ORDER BY s.ts_ns DESC, s.next DESC NULLS LAST LIMIT 1) AS next FROM ev)"""
 
 
 @query(
     "peer_health_gate",
-    f"""WITH {EV_SQL}, c AS (SELECT peer, max(ts_ns) - {100 * HOUR_NS} AS until FROM ev WHERE NOT ok GROUP BY peer)
-    SELECT id, CASE WHEN ev.peer % 11 = 0 THEN 'Blocked' WHEN ev.peer % 5 = 4 THEN 'NotAllowed' WHEN ts_ns < until THEN 'Cooldown' END AS reason FROM ev LEFT JOIN c ON ev.peer = c.peer""",
+    _as_of_sql(100) + """ SELECT id, reason, coalesce(CASE WHEN reason = 'Cooldown' THEN next END, -1) AS retry_ns FROM (
+      SELECT id, next, CASE WHEN peer % 11 = 0 THEN 'Blocked' WHEN peer % 5 = 4 THEN 'NotAllowed' WHEN ts_ns < next THEN 'Cooldown' END AS reason FROM t)""",
 )
 def peer_health_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = events(spark, sf_dir)
-    cooling = e.filter("not ok").select("peer", (F.col("ts_ns") - 100 * HOUR_NS).alias("until_ns"))
-    out = health.peer_health_gate(e, e.filter("peer % 11 = 0").select("peer"), e.filter("peer % 5 <> 4").select("peer"), cooling)
-    return out.select("id", "reason")
+    out = health.peer_health_gate(e, e.filter("peer % 11 = 0").select("peer"), e.filter("peer % 5 <> 4").select("peer"), _backoff_state(e, 100))
+    return out.select("id", "reason", F.coalesce("retry_ns", F.lit(-1)).alias("retry_ns"))
 
 
 STREAK_SQL = f"""{EV_SQL}, isl AS (SELECT *, sum(ok::INT) OVER (PARTITION BY peer ORDER BY ts_ns, id) AS g FROM ev),
@@ -671,11 +837,10 @@ def backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return health.backoff(events(spark, sf_dir)).select("id", "streak", "delay_ns", "next_retry_ns")
 
 
-@query("backoff_gate", f"WITH {EV_SQL}, l AS (SELECT peer, max(ts_ns) + 10000000 AS n FROM ev WHERE event_type = 'error' GROUP BY peer) SELECT id, ev.peer FROM ev LEFT JOIN l ON ev.peer = l.peer WHERE n IS NULL OR ts_ns >= n")
+@query("backoff_gate", _as_of_sql(20) + " SELECT id, peer FROM t WHERE next IS NULL OR ts_ns >= next")
 def backoff_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = events(spark, sf_dir)
-    state = e.filter("not ok").select("peer", (F.col("ts_ns") + health.BACKOFF_BASE_NS).alias("next_retry_ns"))
-    return health.backoff_gate(e, state).select("id", "peer")
+    return health.backoff_gate(e, _backoff_state(e, 20)).select("id", "peer")
 
 
 @query("governor", f"WITH {STREAK_SQL} SELECT peer, id, state FROM (SELECT *, lag(state, 1, 'up') OVER (PARTITION BY peer ORDER BY ts_ns, id) AS was FROM (SELECT *, CASE WHEN streak >= 3 THEN 'down' ELSE 'up' END AS state FROM st)) WHERE state <> was")
@@ -720,10 +885,18 @@ def estimate_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     return health.estimate_budget(requests, [("o_custkey", edge), ("c_nationkey", site)], 5).select("o_orderkey", "budget_ns")
 
 
-@query("backpressure")
+@query(
+    "backpressure",
+    f"""WITH RECURSIVE {EV_SQL}, o AS (SELECT peer, id, ts_ns, floor(value)::INT * 100 >= 100 * 75 AS over, event_type = 'signup' AS back, row_number() OVER (PARTITION BY peer ORDER BY ts_ns, id) AS rn FROM ev),
+    f AS (SELECT peer, 0::BIGINT AS rn, 0::BIGINT AS id, NULL::BIGINT AS last, 0 AS sent, '' AS verdict FROM (SELECT DISTINCT peer FROM o)
+      UNION ALL SELECT peer, rn, id, CASE WHEN verdict = 'notice' THEN ts_ns ELSE last END, CASE WHEN verdict = 'notice' THEN sent + 1 ELSE sent END, verdict
+      FROM (SELECT *, CASE WHEN NOT over THEN 'pass' WHEN sent >= 3 THEN 'drop' WHEN ts_ns < last + {HOUR_NS} THEN 'suppress' ELSE 'notice' END AS verdict
+        FROM (SELECT o.peer, o.rn, o.id, o.ts_ns, o.over, CASE WHEN NOT back THEN f.last END AS last, CASE WHEN back THEN 0 ELSE f.sent END AS sent FROM f JOIN o ON o.peer = f.peer AND o.rn = f.rn + 1)))
+    SELECT id, verdict FROM f WHERE rn > 0""",
+)
 def backpressure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    depth = events(spark, sf_dir).withColumn("depth", F.floor("value").cast("int"))
-    return health.backpressure(depth, 100, HOUR_NS).select("id", "verdict")
+    depth = events(spark, sf_dir).withColumns({"depth": F.floor("value").cast("int"), "back": F.col("event_type") == "signup"})
+    return health.backpressure(depth, 100, HOUR_NS, recovered="back").select("id", "verdict")
 
 
 @query(
@@ -737,6 +910,13 @@ def request_tracker(spark: SparkSession, sf_dir: str) -> DataFrame:
     return health.request_tracker(requests, responses, 20_000, 10_000).select("req_id", F.coalesce("rtt_ns", F.lit(-1)).alias("rtt_ns"), "status")
 
 
-@query("outbound_queue", f"WITH {EV_SQL} SELECT id, peer FROM ev QUALIFY row_number() OVER (PARTITION BY peer ORDER BY ts_ns DESC, id DESC) <= 8")
+@query(
+    "outbound_queue",
+    f"""WITH {EV_SQL}, d AS (SELECT *, event_type = 'signup' AS drain FROM ev),
+    n AS (SELECT *, (SELECT arg_min(z.id, (z.ts_ns, z.id)) FROM d z WHERE z.drain AND z.peer = d.peer AND (z.ts_ns, z.id) > (d.ts_ns, d.id)) AS by_id FROM d WHERE NOT drain),
+    r AS (SELECT *, row_number() OVER (PARTITION BY peer, by_id ORDER BY ts_ns DESC, id DESC) AS r FROM n)
+    SELECT id, CASE WHEN r > 3 THEN 'dropped' WHEN by_id IS NULL THEN 'queued' ELSE 'shipped' END AS status, CASE WHEN r <= 3 THEN coalesce(by_id, -1) ELSE -1 END AS drained_by FROM r""",
+)
 def outbound_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return health.outbound_queue(events(spark, sf_dir), 8, "peer", ["ts_ns", "id"]).select("id", "peer")
+    acts = events(spark, sf_dir).withColumn("action", F.when(F.col("event_type") == "signup", "drain").otherwise("push"))
+    return health.outbound_queue(acts, 3).select("id", "status", F.coalesce("drained_by", F.lit(-1)).alias("drained_by"))

@@ -70,4 +70,10 @@ def test_the_library_does_without_the_optional_subpackage(tmp_path):
     import shutil
 
     shutil.copytree(ROOT, tmp_path / "r", ignore=lambda d, names: [n for n in names if n in skip])
-    subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "r", check=True, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"})
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "r", check=True, env=env)
+    # one that is there but cannot be imported takes no other query with it
+    (tmp_path / "r/loomfed/llm").mkdir()
+    (tmp_path / "r/loomfed/llm/__init__.py").write_text("")
+    (tmp_path / "r/loomfed/llm/queries.py").write_text("import a_module_that_is_not_there")
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "r", check=True, env=env)

@@ -76,9 +76,14 @@ def test_model_descends_and_batches_are_numbered(spark):
     assert losses == sorted(losses, reverse=True) and set(model.params()) == {"bias", "x"}
     line = models.fit_line(df, "x", "y").first()
     assert line["slope"] == pytest.approx(3) and line["intercept"] == pytest.approx(1)
-    source = models.BatchSource(df, ["id"], 30, bucket_width=7)
+    source = models.BatchSource(df, ["id"], 30)
     assert rows(source.batches(), "id", "position", "batch_id") == [(k, k, k // 30) for k in range(100)]
     assert source.next_batch(3).count() == 10 and source.on_data_loaded().first()["batches"] == 4
+    sparse = models.BatchSource(df.selectExpr("id * id * 1000003 - 5 AS id", "x"), ["id", "x"], 30)
+    assert [p for _, p in rows(sparse.batches(), "id", "position")] == list(range(100))
+    assert "Exchange SinglePartition" not in sparse.batches()._jdf.queryExecution().toString()
+    empty, n = models.BatchSource(df.limit(0), ["id"], 30).numbered()
+    assert n == 0 and empty.count() == 0
 
 
 def test_peers(spark):
@@ -103,8 +108,30 @@ def test_address_book(spark):
     assert rows(found, "peer", "status") == [("c", "ok"), ("x", "NotRegistered")]
     many, bad = peers.insert_many(spark.createDataFrame([("c", 1, ["2", "1"]), ("c", 2, ["1", "4"]), ("d", 3, [])], "peer string, seq long, addresses array<string>"))
     assert many.first()["addresses"] == ["2", "1", "4"] and rows(bad, "peer", "reason") == [("d", "BadInput")]
-    acts = spark.createDataFrame([(1, 1, "a", "add"), (2, 2, "a", "add"), (3, 3, "a", "drop"), (1, 4, "b", "add"), (2, 5, "b", "forget"), (3, 6, "c", "drop")], "ts long, id long, peer string, action string")
-    assert rows(peers.reference_counts(acts), "peer", "refs") == [("a", 1)]
+
+
+def test_the_book_counts_references(spark):
+    """A drop of an unknown peer is refused and changes nothing; pruning addresses leaves the count."""
+    acts = [("a", "drop", []), ("a", "add", ["1", "1", "2"]), ("a", "add", ["3", "1"]), ("a", "forget", ["1"]), ("a", "drop", []), ("a", "forget", ["2"]), ("a", "forget", ["3"]),
+            ("b", "add", []), ("b", "register", ["9"]), ("b", "add", ["8"]), ("c", "add", ["7"]), ("a", "drop", []), ("c", "add", ["7"]), ("c", "register", ["6"])]
+    df = spark.createDataFrame([("n", k, k, *a) for k, a in enumerate(acts)], "book string, ts long, id long, peer string, action string, given array<string>")
+    folded = peers.address_book(df, 2)
+    got = [(r["status"], r["refs"], "".join(r["addresses"])) for r in folded.orderBy("id").collect()]
+    assert got == [("UnknownPeer", 0, ""), ("ok", 1, "12"), ("ok", 2, "123"), ("ok", 2, "23"), ("ok", 1, "23"), ("ok", 1, "3"), ("ok", 1, ""), ("EmptyAddressList", 0, ""), ("UnknownPeer", 0, ""),
+                   ("ok", 1, "8"), ("Full", 0, ""), ("ok", 0, ""), ("ok", 1, "7"), ("ok", 1, "76")]
+    assert rows(peers.reference_counts(folded), "peer", "refs") == [("b", 1), ("c", 1)]
+
+
+def test_handshakes_and_constant_views(spark):
+    books = spark.createDataFrame([("x", "s", ["1"], 2), ("x", "t", ["5"], 1)], "client string, peer string, addresses array<string>, refs long")
+    clients = spark.createDataFrame([("x",), ("y",)], "peer string")
+    got = peers.merge_handshakes(books, peers.handshake(clients, server="s", addresses=["2", "1"]))
+    assert sorted((r["client"], r["peer"], "".join(r["addresses"]), r["refs"]) for r in got.collect()) == [("x", "s", "12", 3), ("x", "t", "5", 1), ("y", "s", "21", 1)]
+    assert peers.merge_handshakes(books, peers.handshake(clients, server="s")).count() == 2
+    view = peers.ConstantView(spark, ["a", "b", "b", "c"])
+    assert rows(view.random(2, 5), "peer") == rows(view.random(2, 5), "peer") and view.random(9, 1).count() == 3
+    with pytest.raises(ValueError, match="no peers"):
+        peers.ConstantView(spark, []).random(1, 1)
 
 
 def test_exchange(spark):
@@ -122,8 +149,10 @@ def test_exchange(spark):
 def test_timers(spark):
     assert rows(timers.interval(spark, 100, 251, 50), "tick", "ts_ns") == [(0, 100), (1, 150), (2, 200), (3, 250)]
     assert timers.interval(spark, 5, 5, 1).count() == 0
-    kept, dropped = timers.schedule(spark.createDataFrame([(k, 9 - k) for k in range(4)], "seq long, maturity_ns long"), 3)
-    assert rows(dropped, "seq") == [(3,)] and kept.count() == 3
+    plan = [("schedule", 9), ("schedule", 4), ("schedule", 7), ("schedule", 1), ("poll", 0), ("schedule", 6), ("poll", 0)]
+    df = spark.createDataFrame([("n", 10 * (k == 6) + k, k, a, m) for k, (a, m) in enumerate(plan)], "node string, ts_ns long, id long, action string, maturity_ns long")
+    got = [(r["fired"], r["dropped"]) for r in timers.scheduler(df, 3).orderBy("id").collect()]
+    assert got == [([], False), ([], False), ([], False), ([], True), ([1], False), ([], False), ([5, 2, 0], False)]
 
 
 def acts(spark, name, *events):
@@ -137,6 +166,14 @@ def test_limits_queues_holds(spark):
     assert [tuple(r) for r in coordination.serialize(q, 2).orderBy("id").select("taken", "dropped", "depth").collect()] == [(None, False, 1), (None, False, 2), (None, True, 2), ("b", False, 1), ("c", False, 0), (None, False, 0)]
     h = acts(spark, "slot", ("stash", "a"), ("stash", "b"), ("flush", None), ("flush", None), ("stash", "c"), ("flush", None))
     assert rows(coordination.hold(h).fillna("-"), "id", "taken") == [(2, "b"), (3, "-"), (5, "c")]
+    stashes = [("a", "stash", "1"), ("b", "stash", "2"), ("c", "stash", "3"), ("a", "stash", "4"), ("a", "flush", None), ("c", "stash", "5"), ("c", "flush", None), ("a", "flush", None)]
+    t = spark.createDataFrame([("n", k, k, *e) for k, e in enumerate(stashes)], "node string, ts long, id long, slot string, action string, payload string")
+    got = [(r["taken"], r["dropped"]) for r in coordination.hold_table(t, 2).orderBy("id").collect()]
+    assert got == [(None, False), (None, False), (None, True), (None, False), ("4", False), (None, False), ("5", False), (None, False)]
+    queue = [("push", 0), ("push", 1), ("push", 2), ("drain", 3), ("push", 4), ("drain", 5), ("drain", 6), ("push", 7)]
+    o = spark.createDataFrame([("p", k, k, a) for a, k in queue], "peer string, ts_ns long, id long, action string")
+    assert rows(health.outbound_queue(o, 2).fillna(-1), "id", "status", "drained_by") == [(0, "dropped", -1), (1, "shipped", 3), (2, "shipped", 3), (4, "shipped", 5), (7, "queued", -1)]
+    assert health.outbound_queue(o, None).filter("status = 'dropped'").count() == 0
 
 
 def test_latches_and_deadlines(spark):
@@ -146,9 +183,11 @@ def test_latches_and_deadlines(spark):
     assert rows(coordination.deadline_match(then, late), "exec_id", "winner", "ts") == [(1, "then", 5), (2, "timeout", 8), (3, "then", 4), (4, "timeout", 1)]
     ok, bad = coordination.deadline_check(df, F.col("ts"), F.lit(3))
     assert rows(ok, "id") == [(1,), (2,)] and rows(bad, "id", "reason")[0] == (3, "Timeout")
+    assert [x.count() for x in coordination.deadline_check(df, F.col("ts"), F.lit(None).cast("long"))] == [5, 0]
     with pytest.raises(ValueError, match="reserved"):
         coordination.app_emit(df, "infra.x")
     assert rows(coordination.record(df, 2, "g", ["ts"]), "id") == [(1,), (2,), (3,), (4,), (5,)]
+    assert rows(coordination.record(df, 1, "g", ["ts"], names=2), "id") == [(2,), (3,)]
     assert rows(coordination.gate_dispatch(df.withColumn("exec_id", F.lit(1)), 3, input_col="g"), "ready_ts") == [(4,)]
 
 
@@ -193,8 +232,18 @@ def test_gates(spark):
     assert rows(health.dedup_count_window(window, "r", "p", 3), "id") == [(0,), (1,), (2,), (5,), (6,)]
     attempts = spark.createDataFrame([("a", 5, 1), ("b", 5, 2), ("c", 5, 3), ("d", 5, 4)], "peer string, ts_ns long, id long")
     one = lambda *p: spark.createDataFrame([(x,) for x in p], "peer string")
-    out = health.peer_health_gate(attempts, one("a"), one("a", "c", "d"), spark.createDataFrame([("c", 6), ("d", 5)], "peer string, until_ns long"))
-    assert rows(out.fillna("-"), "peer", "reason") == [("a", "Blocked"), ("b", "NotAllowed"), ("c", "Cooldown"), ("d", "-")]
+    state = spark.createDataFrame([("c", 1, 6), ("d", 1, 5), ("c", 7, 900)], "peer string, ts_ns long, next_retry_ns long")
+    out = health.peer_health_gate(attempts, one("a"), one("a", "c", "d"), state)
+    assert rows(out.fillna("-").fillna(-1), "peer", "reason", "retry_ns") == [("a", "Blocked", -1), ("b", "NotAllowed", -1), ("c", "Cooldown", 6), ("d", "-", -1)]
+    assert rows(health.peer_health_gate(attempts, one("a")).fillna("-"), "peer", "reason")[:2] == [("a", "Blocked"), ("b", "-")]
+
+
+def test_gates_look_at_the_state_of_their_time(spark):
+    """A failure in the future does not bar an attempt in the past, and a success clears."""
+    state = spark.createDataFrame([("a", 1, 4), ("a", 8, 900), ("a", 950, None), ("b", 5, 7)], "peer string, ts_ns long, next_retry_ns long")
+    attempts = spark.createDataFrame([("a", t, t) for t in (0, 1, 3, 4, 7, 8, 899, 900, 940, 951)] + [("b", 4, 104), ("b", 5, 105), ("b", 7, 107), ("c", 1, 201)], "peer string, ts_ns long, id long")
+    assert [i for (i,) in rows(health.backoff_gate(attempts, state), "id")] == [0, 4, 7, 104, 107, 201, 900, 940, 951]
+    assert health.backoff_gate(attempts, state.limit(0)).count() == 14
 
 
 def test_a_hot_key_is_folded_without_gathering_it(spark):
