@@ -18,7 +18,7 @@ Counter = Callable[[Iterable[pa.RecordBatch]], np.ndarray]
 
 
 def id_sieve(ids: DataFrame, id_col: str, count: int) -> np.ndarray:
-    """Bits of the ids' hashes, a Bloom filter of one hash: 16 bits an id, up to 16 MB.
+    """Packed bits of the ids' hashes, a Bloom filter of one hash: 16 bits an id, up to 16 MB.
 
     It lets every id pass that is in it, and others by chance, so it only saves
     work before a join that decides.
@@ -28,16 +28,22 @@ def id_sieve(ids: DataFrame, id_col: str, count: int) -> np.ndarray:
     def mark(batches: Iterable[pa.RecordBatch]) -> np.ndarray:
         bits = np.zeros(size, dtype=bool)
         for batch in batches:
-            bits[sieve_places(batch.column(0).to_numpy(zero_copy_only=False), size)] = True
+            bits[_places(batch.column(0).to_numpy(zero_copy_only=False), size)] = True
         return np.packbits(bits)
 
-    return np.unpackbits(summed(ids.select(F.col(id_col).cast("long")), mark, size // 8, np.uint8, np.bitwise_or)).astype(bool)
+    return summed(ids.select(F.col(id_col).cast("long")), mark, size // 8, np.uint8, np.bitwise_or)
 
 
-def sieve_places(ids: np.ndarray, size: int) -> np.ndarray:
+def _places(ids: np.ndarray, size: int) -> np.ndarray:
     return (mix(ids.astype(np.int64).view(np.uint64)) & np.uint64(size - 1)).astype(np.int64)
 
 
+def in_sieve(sieve: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Which of the ids the sieve lets pass."""
+    at = _places(ids, 8 * len(sieve))
+    return (sieve[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
+
+
 def summed(df: DataFrame, count: Counter, length: int, kind: type = np.int64, add: np.ufunc = np.add) -> np.ndarray:
     """``count`` gives a vector of ``length`` (int64) for each task's rows; their sum (or what ``add`` makes of them).
 

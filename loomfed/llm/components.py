@@ -2,8 +2,10 @@
 
 Each round first contracts links inside Arrow batches with a union-find of
 bounded size, then applies a large-star and a small-star step, both of which
-are aggregations and equi-joins.  Rounds are written to the shared folder, and
-they end when no link changes.  Nothing of the graph reaches the driver.
+are aggregations and equi-joins.  Of the nodes that many links point to fewer
+than ``HOT_SHARE`` are hot; what these point to is broadcast, so no task has all
+links of a hub.  Rounds are written to the shared folder, and they end when no
+link changes.  Nothing of the graph reaches the driver.
 """
 
 from __future__ import annotations
@@ -17,6 +19,8 @@ from pyspark.sql import functions as F
 from .shared import discard, materialise
 
 CONTRACT_ROWS = 1 << 18
+HOT_SHARE = 4_096
+HOT_LEAST = 64
 
 
 def _contract(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -54,10 +58,12 @@ def connected_components(links: DataFrame, a: str, b: str, max_rounds: int = 60)
     pairs = links.select(F.greatest(a, b).cast("long").alias("u"), F.least(a, b).cast("long").alias("v")).filter("u > v")
     edges, path = materialise(pairs.mapInArrow(_contract, "u long, v long").distinct(), "links")
     for _ in range(max_rounds):
-        # large-star: every larger neighbour of a node points to the node's smallest neighbour
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").filter("v > u and v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        # large-star: a node points to the smallest neighbour of the smaller node that it points to
+        least = edges.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "v")
+        many = edges.groupBy("v").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > max(HOT_LEAST, edges.count() // HOT_SHARE)).select("v")
+        hot = F.broadcast(many.join(least, "v", "left"))
+        rest = edges.join(hot.select("v"), "v", "left_anti").join(least, "v", "left")
+        large = edges.join(hot, "v").unionByName(rest).select("u", F.coalesce("m", "v").alias("v")).distinct()
         # small-star: a node and its smaller neighbours point to the smallest of them
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u")

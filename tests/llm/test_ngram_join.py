@@ -46,6 +46,28 @@ def test_order_of_shingles_changes_nothing(spark, monkeypatch):
     job.close()
 
 
+def test_hot_lists_and_hubs_change_nothing(spark, monkeypatch):
+    """Common shingles are dealt by salt, and hubs' sets go in copies."""
+    monkeypatch.setattr(ngram_join, "HOT_LEAST", 2)
+    monkeypatch.setattr(ngram_join, "HOT_SHARE", 64)
+    monkeypatch.setattr(ngram_join, "HUB_PAIRS", 4)
+    monkeypatch.setattr(ngram_join, "HEAVY_LOCAL", 2)
+    rows = _corpus()
+    assert {d: c for d, (_, c) in _got(spark, rows).items()} == brute_components(rows)
+
+
+def test_ten_thousand_copies_and_a_common_shingle(spark):
+    base = prose(8, 60, 10**6)
+    line = prose(9, 5, 10**6)
+    rows = [(10_000 + k, base) for k in range(10_000)] + [(k, prose(100 + k, 40, 10**6) + " " + line + " " + prose(900 + k, 8, 10**6)) for k in range(150)]
+    rows += [(500 + k, edited(base, k, 0.02)) for k in range(20)]
+    got = {d: c for d, (_, c) in _got(spark, rows).items()}
+    few = [r for r in rows if r[0] <= 10_000]
+    want = brute_components(few)
+    assert {d: got[d] for d, _ in few} == want
+    assert {got[10_000 + k] for k in range(10_000)} == {want[10_000]}
+
+
 def test_same_prefix_but_other_size(spark):
     base = prose(3, 100, 10**6)
     words = base.split(" ")
@@ -76,3 +98,26 @@ def test_components_of_long_paths(spark):
     links = spark.createDataFrame([(k, k + 1) for k in range(200)] + [(500, 400), (400, 300), (7, 7)], "a long, b long")
     got = {r["node"]: r["component"] for r in connected_components(links, "a", "b").collect()}
     assert got == {k: 0 for k in range(201)} | {300: 300, 400: 300, 500: 300}
+
+
+def test_components_of_random_graphs_and_hubs(spark, monkeypatch):
+    import random
+
+    from loomfed.llm import components
+
+    monkeypatch.setattr(components, "HOT_LEAST", 3)
+    monkeypatch.setattr(components, "CONTRACT_ROWS", 7)
+    rng = random.Random(4)
+    edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(260)] + [(900, k) for k in range(500, 560)] + [(k, 1000 + k) for k in range(500, 560, 7)]
+    parent = {n: n for e in edges for n in e}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        ra, rb = find(a), find(b)
+        parent[max(ra, rb)] = min(ra, rb)
+    got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "a long, b long").repartition(9), "a", "b").collect()}
+    assert all(got[n] == find(n) for n in got) and set(got) == {n for a, b in edges if a != b for n in (a, b)}
