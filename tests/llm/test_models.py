@@ -24,15 +24,56 @@ def test_language_held_out_accuracy(spark):
 def test_language_edge_cases(spark):
     rows = [(k, w * 5, lang) for k, (w, lang) in enumerate([("the cat sat on ", "en"), ("der hund und die ", "de")] * 12)]
     model = language_id.train(documents(spark, [*rows, (90, None, "en"), (91, "", "de"), (92, "no label", None)]))
-    odd = documents(spark, [(1, None), (2, ""), (3, "123 !?"), (4, "die katze und der hund"), (None, "on the cat"), (6, "der " * 200_000)]).selectExpr("*", "1 AS score")
+    odd = documents(spark, [(1, None), (2, ""), (3, "123 !?"), (4, "die katze und der hund"), (None, "on the cat"), (6, "der " * 200_000), (7, "½ ² Ⅷ ①"), (8, "ªö")]).selectExpr("*", "1 AS score")
     got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language_id.predict(odd, model).collect()}
-    assert got[1] == got[2] == got[3] == ("und", 0.0)
+    assert got[1] == got[2] == got[3] == got[7] == ("und", 0.0) and got[8][0] != "und"
     assert got[4][0] == got[6][0] == "de" and got[None][0] == "en"
     assert language_id.predict(odd.limit(0), model).count() == 0
     none = language_id.train(documents(spark, rows).limit(0))
     assert {r["lang_pred"] for r in language_id.predict(odd, none).collect()} == {"und"}
 
 
+def test_learning_equals_a_dense_version():
+    """FTRL-proximal with all coordinates written out; the one of the package goes through those of each row."""
+    rng = np.random.Generator(np.random.PCG64(2))
+    buckets, classes, alpha, beta, l1, l2 = 12, 3, 0.7, 1.0, 0.05, 1e-2
+    rows = rng.random((40, buckets)) * (rng.random((40, buckets)) < 0.4) + 1e-3
+    rows /= np.sqrt((rows**2).sum(1, keepdims=True))
+    labels = rng.integers(0, classes, 40)
+    x = np.hstack([rows, np.ones((40, 1))])
+    z, n = np.zeros((buckets + 1, classes)), np.zeros((buckets + 1, classes))
+
+    def weights():
+        return np.where(np.abs(z) <= l1, 0.0, -(z - np.sign(z) * l1) / ((beta + np.sqrt(n)) / alpha + l2))
+
+    order = np.random.Generator(np.random.PCG64(9))
+    for _ in range(2):
+        for k in order.permutation(40):
+            w = weights()
+            p = np.exp(x[k] @ w)
+            g = np.outer(x[k], p / p.sum() - np.eye(classes)[labels[k]])
+            sigma = (np.sqrt(n + g**2) - np.sqrt(n)) / alpha
+            z, n = z + g - sigma * w, n + g**2
+    want = weights()
+    got, bias = language_id._learn([(np.arange(buckets), r, int(y)) for r, y in zip(rows, labels, strict=True)], classes, buckets, alpha, beta, l1, l2, 2, 9)
+    np.testing.assert_allclose(got, want[:-1], atol=1e-10)
+    np.testing.assert_allclose(bias, want[-1], atol=1e-10)
+
+
+def test_document_frequencies_and_sample_equal_brute_force(spark):
+    rows = [(k, f"der {k % 7} hund {chr(97 + k % 26)}", "de") for k in range(300)] + [(400 + k, f"the {k % 5}", "en") for k in range(9)] + [(7, "der 0 hund h", "de")] * 30
+    docs = documents(spark, rows)
+    model = language_id.train(docs, buckets=1 << 10, per_language=20)
+    seen = np.zeros(1 << 10)
+    for _, text, _ in rows:
+        seen[np.unique(language_id.gram_buckets(text, 1 << 10))] += 1
+    np.testing.assert_allclose(model.idf, np.log((1 + len(rows)) / (1 + seen)) + 1)
+    own = docs.selectExpr("doc_id AS id", "text", "lang")
+    got = language_id._sample(own, 20).collect()
+    assert sorted(r["lang"] for r in got) == ["de"] * 20 + ["en"] * 9 and len({r["h"] for r in got}) == 29
+    assert language_id._sample(own.limit(0), 20).count() == 0
+
+
 def test_pieces_of_a_long_text_count_as_the_whole(monkeypatch):
     text = "Aé한b" * 300
     whole = language_id.gram_counts(text, 1 << 12)
@@ -68,20 +109,81 @@ def test_toxicity_from_positives_and_unlabelled(spark):
     assert kept.columns == docs.columns and 1000 < kept.count() < 1100
 
 
+def _places(sets, hashes):
+    return [np.flatnonzero(np.isin(hashes, own)) for own in sets]
+
+
 def test_the_risk_stays_non_negative():
     """With far more weight on the prior than the sample has, learning does not run away."""
     rng = np.random.Generator(np.random.PCG64(5))
     common = np.arange(1, 40, dtype=np.uint64)
     draw = lambda extra: np.sort(np.concatenate([rng.choice(common, 10, replace=False), extra]).astype(np.uint64))
     p, u = [draw([100]) for _ in range(80)], [draw([100] if k % 10 == 0 else [200]) for k in range(400)]
-    model = toxicity.nnpu_fit(p, u, prior=0.1)
+    hashes = np.unique(np.concatenate(p + u))
+    in_p, in_u = (np.array([sum(h in own for own in side) for h in hashes]) for side in (p, u))
+    chosen = toxicity.select_features(hashes, in_p, in_u, 80, 400)
+    assert chosen.tolist() == [100]
+    model = toxicity.nnpu_fit(_places(p, chosen), _places(u, chosen), chosen, prior=0.1)
     at = {int(h): w for h, w in zip(model.hashes, model.weights, strict=True)}
     assert at[100] > 1 and model.bias < 0 and np.isfinite(model.weights).all()
 
 
-def test_only_equal_feature_sets_are_copies():
-    sets = [np.array(own, dtype=np.uint64) for own in ([1, 2, 3], [1, 2, 4], [1, 2, 3], [1, 2, 3, 4], [], [])]
-    assert [r.tolist() for r in toxicity._without_copies(sets)] == [[1, 2, 3], [1, 2, 4], [1, 2, 3, 4], []]
+def test_risk_and_gradient_equal_the_formula():
+    rng = np.random.Generator(np.random.PCG64(6))
+    x = (rng.random((30, 7)) < 0.4).astype(float)
+    owner, flat = np.nonzero(x)
+    n_p, n_u = 12, 18
+
+    def terms(w, prior):
+        g = x @ w[:-1] + w[-1]
+        soft = lambda z: np.log1p(np.exp(z))
+        return prior * soft(-g[:n_p]).mean(), soft(g[n_p:]).mean() - prior * soft(g[:n_p]).mean()
+
+    signs = set()
+    for prior in (0.2, 0.9):
+        for _ in range(10):
+            w = rng.normal(size=8) * 2
+            pos, neg, grad = toxicity.nnpu_risk(w, flat, owner, n_p, n_u, prior)
+            np.testing.assert_allclose((pos, neg), terms(w, prior))
+            signs.add(neg < 0)
+
+            def aim(w, neg=neg, prior=prior):
+                p, n = terms(w, prior)
+                return -n if neg < 0 else p + n
+
+            numeric = [(aim(w + 1e-6 * e) - aim(w - 1e-6 * e)) / 2e-6 for e in np.eye(8)]
+            np.testing.assert_allclose(grad, numeric, atol=1e-7)
+    assert signs == {True, False}
+
+
+def test_only_equal_feature_sets_are_copies(spark, monkeypatch):
+    """Rows of the sample with the same words count once, all others stay; repeated ids are one document."""
+    seen = []
+    plain = toxicity.nnpu_fit
+    monkeypatch.setattr(toxicity, "nnpu_fit", lambda p, u, *a, **k: seen.append((len(p), len(u))) or plain(p, u, *a, **k))
+    rows = [(1, "bad one"), (2, "one BAD"), (3, "bad two"), (4, "fine one"), (5, "fine, one"), (6, "fine one more"), (6, "zzz"), (6, "zzz"), (7, None), (8, "")]
+    toxicity.train(documents(spark, rows), spark.createDataFrame([(1, 1), (2, 1), (3, 1)], "doc_id long, toxic int"))
+    assert seen == [(2, 3)]
+
+
+def test_all_rows_labelled(spark):
+    """Without unlabelled rows the labelled ones, of both kinds, stand for the mixture."""
+    rows, _ = _toxic_rows()
+    docs = documents(spark, rows)
+    labels = spark.createDataFrame([(k, int(k % 8 == 0)) for k, _ in rows], "doc_id long, toxic int")
+    got = {r["doc_id"]: r["predicted"] for r in toxicity.score(docs, toxicity.train(docs, labels)).collect()}
+    assert sum(got[k] == int(k % 8 == 0) for k in got) / len(got) > 0.95 and sum(got.values()) > 100
+
+
+def test_toxicity_held_out_figures(spark):
+    """On the fixture of 1,000 documents; there are few positives, see the README."""
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    held = language_id.fold_of("doc_id", 5) == 0
+    model = toxicity.train(docs.filter(~held), labels.filter(~held))
+    got = toxicity.score(docs.filter(held), model).join(labels, "doc_id").collect()
+    hits = [r["predicted"] for r in got if r["toxic"] == 1]
+    false = [r["predicted"] for r in got if r["toxic"] == 0]
+    assert sum(hits) / len(hits) >= 0.6 and sum(false) / len(false) <= 0.05
 
 
 def test_toxicity_edge_cases(spark):

@@ -174,6 +174,39 @@ def test_index_recall_and_exact_search(spark):
     assert sum((a, b) in found for a, own in want.items() for b in own) / sum(map(len, want.values())) >= 0.9
 
 
+def test_recall_over_many_shards(spark):
+    """Twenty thousand vectors in fifty shards and more, at the production factor."""
+    rng = np.random.Generator(np.random.PCG64(11))
+    centres = rng.normal(size=(40, 16))
+    x = (centres[rng.integers(0, 40, 20_000)] + rng.normal(size=(20_000, 16)) * 0.4).astype(np.float32)
+    x[5000:9000] = x[0]  # one very common vector: its cell is dealt to several shards
+    df = spark.createDataFrame([(k, row) for k, row in enumerate(x.tolist())], "vec_id long, embedding array<float>")
+    index = VPIndex(df, shard_rows=400)
+    ids = np.arange(20_000)
+    for factor, least in ((1.0, 1.0), (vp_tree.FACTOR, 0.9)):
+        found = {}
+        for r in index.search(df.filter("vec_id % 100 = 0"), 10, factor).collect():
+            found.setdefault(r["query_id"], set()).add(r["vec_id"])
+        want = {q: set(_brute(x.astype(np.float64), ids, q)) for q in range(0, 20_000, 100)}
+        assert sum(len(want[q] & found[q]) for q in want) / (10 * len(want)) >= least
+    assert index.trees.count() >= 50
+    index.close()
+
+
+def test_the_bound_of_a_cell_is_one():
+    """No vector of a cell is nearer than the bound says."""
+    rng = np.random.Generator(np.random.PCG64(4))
+    x, q = rng.normal(size=(2000, 6)), rng.normal(size=(40, 6))
+    pivots = vp_tree.choose_pivots(x[:500], 12)
+    cell, gap = vp_tree.nearest_pivots(x, pivots)
+    near, far = (np.array([fn(gap[cell == c]) for c in range(12)]) for fn in (np.min, np.max))
+    least = vp_tree.cell_bounds(q, pivots, near, far)
+    for c in range(12):
+        d = np.sqrt(((q[:, None] - x[cell == c][None]) ** 2).sum(-1)).min(1)
+        assert (least[:, c] <= d + 1e-9).all()
+    assert (least > 0).mean() > 0.3
+
+
 def test_vectors_that_take_no_part(spark):
     bad = [(1, None), (2, []), (3, [0.0, 0.0]), (4, [1.0, float("nan")]), (5, [1.0, float("inf")]), (6, [1.0, None]), (None, [1.0, 1.0])]
     good = [(10, [1.0, 0.0]), (11, [2.0, 0.0]), (11, [2.0, 0.0]), (12, [0.0, 1.0]), (20, [1.0, 0.0, 5.0])]
@@ -223,6 +256,17 @@ def test_chaining_equals_all_predecessors():
         best = passage_chains.fenwick_chains(x, y)
         assert sorted(i for c in best for i in c) == list(range(n))
         assert all(x[a] < x[b] and y[a] < y[b] for c in best for a, b in zip(c, c[1:], strict=False))
+        k, gap = passage_chains.K, passage_chains.GAP_COST
+
+        def step(a, b, k=k, gap=gap, x=x, y=y):
+            gain = min(k, x[b] - x[a], y[b] - y[a])
+            return gain - gap * (x[b] - x[a] - gain + y[b] - y[a] - gain)
+
+        score = [0.0] * n
+        for i in sorted(range(n), key=lambda i: (x[i], y[i])):  # each match from all its predecessors
+            score[i] = max([float(k)] + [score[j] + step(j, i) for j in range(n) if x[j] < x[i] and y[j] < y[i]])
+        top = best[0]
+        assert abs(k + sum(step(a, b) for a, b in zip(top, top[1:], strict=False)) - max(score)) < 1e-9
 
 
 def test_alignment():
@@ -251,6 +295,61 @@ def test_positions_of_chains_that_fail_go_on(spark):
     assert got == [(21, 20, 80)]
 
 
+def test_a_document_that_repeats_its_seeds_hides_nobody(spark):
+    """The first document has pieces of a text sixteen times each; two later ones have all of it."""
+    full = prose(5, 140, 10**6).split(" ")
+    pieces = [" ".join(full[at : at + 44]) + " " + prose(700 + at + n, 12, 10**6) for at in (0, 44, 88) for n in range(16)]
+    rows = [(0, " ".join(pieces))] + [(d, prose(d, 30, 10**6) + " " + " ".join(full)) for d in (100, 101)]
+    got = [(r["doc_id"], r["other_id"], r["n_match"], r["passage_id"]) for r in passage_chains.shared_passages(documents(spark, rows)).collect()]
+    assert (101, 100, 140) in [r[:3] for r in got]
+
+
+def _brute_passages(rows, min_words=50):
+    """Each pair of documents and whether they share so many words in a row."""
+    grams = {d: {tuple(w[i : i + min_words]) for i in range(len(w) - min_words + 1)} for d, w in ((d, t.split(" ")) for d, t in rows)}
+    return {(a, b) for a in grams for b in grams if a > b and grams[a] & grams[b]}
+
+
+def test_no_document_is_lost_against_all_pairs(spark):
+    """Passages, copies, repeated and common lines: who shares a passage with an earlier one has a row, and shares its class."""
+    rng = random.Random(12)
+    passages = [prose(40 + p, rng.randrange(50, 90), 10**6) for p in range(8)]
+    line, other_line = prose(91, 14, 10**6), prose(92, 30, 10**6)
+    rows = []
+    for d in range(160):
+        parts = [prose(1000 + d, rng.randrange(5, 60), 10**6)]
+        if d % 4 == 0:
+            parts += [line] * rng.randrange(1, 4)
+        if d % 3 == 0:
+            parts += [other_line, prose(3000 + d, 15, 10**6)]
+        parts += rng.sample(passages, rng.choice([0, 0, 1, 2]))
+        rows.append((d, " ".join([*parts, prose(2000 + d, rng.randrange(5, 60), 10**6)])))
+    rows += [(200 + k, rows[k][1]) for k in range(0, 40, 5)]
+    pairs = _brute_passages(rows)
+    got = passage_chains.shared_passages(documents(spark, rows)).collect()
+    assert {r["doc_id"] for r in got} >= {a for a, _ in pairs}
+    assert {(r["doc_id"], r["other_id"]) for r in got if r["n_match"] >= 55} <= pairs
+    classes = {}
+    for r in got:
+        for d in (r["doc_id"], r["other_id"]):
+            classes.setdefault(d, set()).add(r["passage_id"])
+    assert all(classes[a] & classes[b] for a, b in pairs)
+
+
+def test_equal_stretches_are_one_candidate(spark):
+    """Two hundred documents have one line of forty words: nobody has a passage, and few meet."""
+    line = prose(6, 40, 10**6)
+    rows = [(k, prose(100 + k, 40, 10**6) + " " + line + " " + prose(500 + k, 40, 10**6)) for k in range(200)]
+    seen = []
+    plain = passage_chains.materialise
+    try:
+        passage_chains.materialise = lambda df, name: (lambda r: seen.append((name, r[0].count())) or r)(plain(df, name))
+        assert passage_chains.shared_passages(documents(spark, rows)).count() == 0
+    finally:
+        passage_chains.materialise = plain
+    assert sum(n for name, n in seen if name == "meetings") < 200
+
+
 def test_a_long_list_is_read_to_its_end(spark):
     """Thirty documents have 40 words of the passage, so no block of them is enough."""
     full = prose(2, 80, 10**6).split(" ")
