@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomfed.operators import federated
+from loomfed.plans import snapshot as snapshots
 from loomfed.plans.module import Compiler, Module, PeerPolicy, PlanError, union_of_status
 from loomfed.sources import tables
 
@@ -38,6 +39,22 @@ def test_peer_policy_and_status(spark):
     assert both.filter("kind = 'allowed'").first()["payload"] == '{"peer":"c"}'
 
 
+def test_snapshots_round_trip(spark, tmp_path):
+    registry = spark.createDataFrame([("a", 5, 95), ("b", 6, 96)], "peer string, last_ns long, expires_ns long")
+    log = spark.createDataFrame([("a", 1), ("b", 2)], "peer string, ts_ns long")
+    path = str(tmp_path / "one")
+    snapshots.snapshot(spark, {"registry": registry, "log": log, "empty": log.limit(0)}, path)
+    back = snapshots.restore(spark, path)
+    assert set(back) == {"registry", "log", "empty"} and back["empty"].count() == 0
+    assert back["registry"].schema == registry.schema and sorted(map(tuple, back["registry"].collect())) == sorted(map(tuple, registry.collect()))
+    later = snapshots.resume(back["log"], spark.createDataFrame([("b", 2), ("c", 3)], log.schema))
+    assert sorted(map(tuple, later.collect())) == [("a", 1), ("b", 2), ("c", 3)]
+    with pytest.raises(snapshots.SnapshotError, match="whole"):
+        snapshots.restore(spark, str(tmp_path / "none"))
+    with pytest.raises(snapshots.SnapshotError, match="names"):
+        snapshots.snapshot(spark, {"a/b": log}, str(tmp_path / "two"))
+
+
 @pytest.mark.parametrize("fmt", ["parquet", "orc", "json", "csv"])
 def test_formats_round_trip(spark, tmp_path, fmt):
     df = spark.createDataFrame([(1, "a"), (2, "b")], "id long, name string")
