@@ -11,10 +11,13 @@ whole corpus would, and a run is as large as memory is meant to be
 
 A worker keeps the encodings of about ``KNOWN_PIECES`` pieces, those seen last;
 that bounds memory and changes no result.  Very long texts
-are read match by match.
+are read match by match.  The driver reads the rank file and sends its bytes, so
+executors need no file.
 
 Defined results: a null text is empty and has no ids; repeated rows are
-encoded each; columns besides id and text play no part.
+encoded each; an empty table gives an empty one; columns besides id and text
+play no part, whatever their names (the id column may not be named like an
+output).
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ import base64
 import gc
 import hashlib
 import heapq
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import islice
 from typing import Any
 
@@ -40,15 +43,25 @@ LONG_CHARS = 1 << 20
 
 def load_ranks(path: str) -> dict[bytes, int]:
     """Token bytes to rank, from a file of base64 tokens and ranks."""
+    return parse_ranks(file_bytes(path)[0])
+
+
+def parse_ranks(data: bytes) -> dict[bytes, int]:
     out = {}
-    with open(path, "rb") as lines:
-        for line in lines:
-            if line.strip():
-                token, rank = line.split()
-                out[base64.b64decode(token)] = int(rank)
+    for line in data.splitlines():
+        if line.strip():
+            token, rank = line.split()
+            out[base64.b64decode(token)] = int(rank)
     return out
 
 
+def file_bytes(path: str) -> tuple[bytes, str]:
+    """What a tokenizer file holds, a megabyte or two, and its digest."""
+    with open(path, "rb") as data:
+        whole = data.read()
+    return whole, hashlib.sha256(whole).hexdigest()
+
+
 class MergeTable:
     """The rank file as ids: which pair of ids merges into which id.
 
@@ -193,8 +206,8 @@ class PieceCache:
 class ByteBPE:
     """Encodes and decodes texts by a rank file and a pattern."""
 
-    def __init__(self, path: str, pattern: str, known: int = KNOWN_PIECES) -> None:
-        self.merges = MergeTable(load_ranks(path))
+    def __init__(self, ranks: dict[bytes, int], pattern: str, known: int = KNOWN_PIECES) -> None:
+        self.merges = MergeTable(ranks)
         self.tokens = {rank: token for token, rank in self.merges.ranks.items()}
         self.digits = {rank: str(rank) for rank in self.tokens}
         self.find = regex.compile(pattern)
@@ -263,13 +276,28 @@ class ByteBPE:
 
 
 _LOADED: dict[tuple[str, str], ByteBPE] = {}
+Work = Callable[[ByteBPE, pa.RecordBatch], pa.RecordBatch]
 
 
-def _coder(path: str, pattern: str) -> ByteBPE:
-    gc.disable()  # the worker's tables hold no cycles, and walking them costs more than all else
-    if (path, pattern) not in _LOADED:
-        _LOADED[path, pattern] = ByteBPE(path, pattern)
-    return _LOADED[path, pattern]
+def _coded(narrow: DataFrame, path: str, pattern: str, rows: int, work: Work, schema: str) -> DataFrame:
+    """``work`` on every ``rows`` rows, with the coder that a worker has for the rank file."""
+    data, digest = file_bytes(path)
+    sent = narrow.sparkSession.sparkContext.broadcast(data)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # the tables hold no cycles, and walking them costs more than all else; the worker gets its collector back
+        collected = gc.isenabled()
+        gc.disable()
+        try:
+            if (digest, pattern) not in _LOADED:
+                _LOADED[digest, pattern] = ByteBPE(parse_ranks(sent.value), pattern)
+            for batch in row_runs(batches, rows):
+                yield work(_LOADED[digest, pattern], batch)
+        finally:
+            if collected:
+                gc.enable()
+
+    return narrow.mapInArrow(run, schema)
 
 
 def _texts(column: pa.Array) -> list[str]:
@@ -283,45 +311,41 @@ def row_runs(batches: Iterable[pa.RecordBatch], rows: int = 2_000) -> Iterator[p
             yield batch.slice(at, rows)
 
 
+def _narrow(df: DataFrame, id_col: str, other: str) -> tuple[DataFrame, str]:
+    """The id and another column, and the id's part of a schema."""
+    narrow = df.select(F.col(f"`{id_col}`"), F.col(f"`{other}`"))
+    return narrow, f"`{id_col}` {narrow.schema[0].dataType.simpleString()}"
+
+
 def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Ids of every whole text: the id column and ``ids array<int>``."""
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = _coder(path, pattern)
-        for batch in row_runs(batches, 500):
-            ids = coder.encode(_texts(batch.column(1)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], [id_col, "ids"])
+    def work(coder: ByteBPE, batch: pa.RecordBatch) -> pa.RecordBatch:
+        ids = coder.encode(_texts(batch.column(1)))
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], [id_col, "ids"])
 
-    narrow = docs.select(F.col(id_col), F.col(text_col))
-    return narrow.mapInArrow(run, f"`{id_col}` {narrow.schema[0].dataType.simpleString()}, ids array<int>")
+    narrow, own = _narrow(docs, id_col, text_col)
+    return _coded(narrow, path, pattern, 500, work, f"{own}, ids array<int>")
 
 
 def decode(encoded: DataFrame, path: str, pattern: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """Bytes of every list of ids: the id column and ``bytes binary``; a null list is empty."""
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = _coder(path, pattern)
-        for batch in row_runs(batches, 500):
-            out = [coder.decode(x or ()) for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], [id_col, "bytes"])
+    def work(coder: ByteBPE, batch: pa.RecordBatch) -> pa.RecordBatch:
+        out = [coder.decode(x or ()) for x in batch.column(1).to_pylist()]
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], [id_col, "bytes"])
 
-    narrow = encoded.select(F.col(id_col), F.col(ids_col))
-    return narrow.mapInArrow(run, f"`{id_col}` {narrow.schema[0].dataType.simpleString()}, bytes binary")
+    narrow, own = _narrow(encoded, id_col, ids_col)
+    return _coded(narrow, path, pattern, 500, work, f"{own}, bytes binary")
 
 
 def encode_digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``n_tokens, ids_sha256, decoded_sha256`` of every whole text, encoded and decoded again."""
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = _coder(path, pattern)
-        for batch in row_runs(batches):
-            rows = list(coder.digests(_texts(batch.column(1))))
-            n, ids, back = zip(*rows, strict=True) if rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(back, pa.string())],
-                [id_col, "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
-
-    narrow = docs.select(F.col(id_col), F.col(text_col))
-    kind = narrow.schema[0].dataType.simpleString()
-    return narrow.mapInArrow(run, f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    def work(coder: ByteBPE, batch: pa.RecordBatch) -> pa.RecordBatch:
+        rows = list(coder.digests(_texts(batch.column(1))))
+        n, ids, back = zip(*rows, strict=True) if rows else ((), (), ())
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(back, pa.string())], [id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    narrow, own = _narrow(docs, id_col, text_col)
+    return _coded(narrow, path, pattern, 2_000, work, f"{own}, n_tokens long, ids_sha256 string, decoded_sha256 string")

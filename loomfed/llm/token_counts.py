@@ -11,8 +11,12 @@ to the whole text, so the counts are those of the whole text in every case.
 The proof needs a BPE model whose normaliser changes nothing but the space
 sign; other models are encoded whole, and the chunks are not used.
 
+The driver reads the model file and sends its bytes, so executors need no file.
+
 Defined results: a null text is empty: no bytes and no tokens; repeated rows
-are counted each; columns besides id and text play no part.
+are counted each; an empty table gives an empty one; columns besides id and text
+play no part, whatever their names (the id column may not be named like an
+output).
 """
 
 from __future__ import annotations
@@ -25,7 +29,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .byte_bpe import row_runs
+from .byte_bpe import file_bytes, row_runs
 
 HUGE_CHARS = 1 << 16
 CHUNK_CHARS = 1 << 15
@@ -34,16 +38,15 @@ SPACE = "▁"
 
 
 class PieceCounter:
-    """Counts tokens of texts; chunks those longer than ``huge`` characters."""
+    """Counts tokens of texts by a model file's bytes; chunks texts longer than ``huge`` characters."""
 
-    def __init__(self, path: str, huge: int = HUGE_CHARS, chunk: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS) -> None:
+    def __init__(self, model: bytes, huge: int = HUGE_CHARS, chunk: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS) -> None:
         from sentencepiece import sentencepiece_model_pb2 as proto
 
-        self.model = sentencepiece.SentencePieceProcessor(model_file=path)
+        self.model = sentencepiece.SentencePieceProcessor(model_proto=model)
         self.huge, self.chunk, self.overlap = huge, chunk, min(overlap, chunk // 2)
         spec = proto.ModelProto()
-        with open(path, "rb") as data:
-            spec.ParseFromString(data.read())
+        spec.ParseFromString(model)
         norm = spec.normalizer_spec
         plain = norm.name == "identity" and not norm.precompiled_charsmap and not norm.remove_extra_whitespaces and norm.escape_whitespaces
         pieces = [p for p in spec.pieces if p.type == spec.SentencePiece.NORMAL]
@@ -115,11 +118,13 @@ _LOADED: dict[str, PieceCounter] = {}
 
 def token_counts(docs: DataFrame, path: str, limit: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``n_bytes, n_tokens, over_limit`` of every whole text."""
+    model, digest = file_bytes(path)
+    sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if path not in _LOADED:
-            _LOADED[path] = PieceCounter(path)
-        counter = _LOADED[path]
+        if digest not in _LOADED:
+            _LOADED[digest] = PieceCounter(sent.value)
+        counter = _LOADED[digest]
         for batch in row_runs(batches, 200):
             texts = ["" if x is None else x for x in batch.column(1).to_pylist()]
             n = counter.count(texts)
@@ -128,6 +133,6 @@ def token_counts(docs: DataFrame, path: str, limit: int = 4096, id_col: str = "d
                 [id_col, "n_bytes", "n_tokens", "over_limit"],
             )
 
-    narrow = docs.select(F.col(id_col), F.col(text_col))
+    narrow = docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"))
     kind = narrow.schema[0].dataType.simpleString()
     return narrow.mapInArrow(run, f"`{id_col}` {kind}, n_bytes long, n_tokens long, over_limit boolean")

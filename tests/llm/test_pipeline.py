@@ -8,6 +8,7 @@ from collections import Counter
 import public_tokenizers as P
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from loomfed.llm import poisson_mix
@@ -87,6 +88,24 @@ def test_run_gives_tokens_of_what_is_kept(spark, world):
         assert r["decoded_sha256"] == hashlib.sha256(texts[r["doc_id"]].encode()).hexdigest()
 
 
+def test_empty_tables_and_clashing_columns(spark, world, tmp_path):
+    rows, sf_dir = world
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    names = ["_id", "_sha", "_doc", "_text", "_toxic", "id", "token", "component_id", "_source", "_copy", "ids", "n_tokens", "toxic", "score"]
+    wide = docs.select("*", *[F.lit(n).alias(n) for n in names])
+    wide.limit(0).write.parquet(f"{tmp_path}/a/documents.parquet")
+    wide.filter("doc_id % 3 = 0 or doc_id is null").write.parquet(f"{tmp_path}/b/documents.parquet")
+    for part in "ab":
+        labels.limit(0 if part == "a" else 10_000).write.parquet(f"{tmp_path}/{part}/labels.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/a").count() == 0
+    docs = spark.read.parquet(f"{tmp_path}/b/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        docs = stage(spark, docs, f"{tmp_path}/b")
+        assert docs.columns == wide.columns
+    out = corpus_pipeline.run(spark, f"{tmp_path}/b")
+    assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and out.count() > 50
+
+
 @pytest.mark.parametrize("name", sorted(oracle_sql()))
 def test_query_equals_sql(spark, name):
     import duckdb

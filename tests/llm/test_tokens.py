@@ -7,13 +7,14 @@ import sentencepiece
 import tiktoken
 
 from loomfed.llm import byte_bpe, token_counts
-from loomfed.llm.byte_bpe import ByteBPE, MergeTable, PieceCache, load_ranks, replay_merges
+from loomfed.llm.byte_bpe import ByteBPE, MergeTable, PieceCache, file_bytes, load_ranks, replay_merges
 from loomfed.llm.token_counts import PieceCounter
 
 from .helpers import documents, prose
 
 RANKS = P.path("byte_bpe_50k.tiktoken")
 PIECES = P.path("piece_bpe_32k.model")
+MODEL = file_bytes(PIECES)[0]
 
 
 def _texts():
@@ -29,7 +30,7 @@ def library():
 
 
 def test_bpe_equals_the_library_and_round_trips(library):
-    coder, texts = ByteBPE(RANKS, P.PATTERN, known=500), _texts()
+    coder, texts = ByteBPE(load_ranks(RANKS), P.PATTERN, known=500), _texts()
     got = coder.encode(texts)
     assert got == [library.encode_ordinary(t) for t in texts]
     assert [coder.decode(x).decode() for x in got] == texts
@@ -63,7 +64,7 @@ def test_ranks_that_fall_are_replayed_in_turn():
 def test_long_texts_are_read_in_parts(library, monkeypatch):
     monkeypatch.setattr(byte_bpe, "LONG_CHARS", 64)
     monkeypatch.setattr(byte_bpe, "RUN_CHARS", 100)
-    coder, texts = ByteBPE(RANKS, P.PATTERN), _texts()
+    coder, texts = ByteBPE(load_ranks(RANKS), P.PATTERN), _texts()
     for text, (n, ids, back) in zip(texts, coder.digests(texts), strict=True):
         want = library.encode_ordinary(text)
         assert (n, ids) == (len(want), hashlib.sha256(" ".join(map(str, want)).encode()).hexdigest())
@@ -89,16 +90,25 @@ def test_bpe_tables(spark, library):
     assert byte_bpe.encode_digests(df.limit(0), RANKS, P.PATTERN).count() == 0
 
 
+def test_the_worker_gets_its_collector_back(spark):
+    import gc
+
+    df = documents(spark, [(k, "a b c") for k in range(20)]).repartition(2)
+    byte_bpe.encode_digests(df, RANKS, P.PATTERN).count()
+    states = df.select("doc_id").mapInPandas(lambda parts: (p.assign(doc_id=int(gc.isenabled())) for p in parts), "doc_id long")
+    assert {r[0] for r in states.collect()} == {1}
+
+
 @pytest.mark.parametrize(("huge", "chunk", "overlap"), [(10, 8, 2), (40, 32, 4), (200, 100, 10), (1 << 16, 1 << 15, 1 << 9)])
 def test_spliced_counts_equal_whole_counts(huge, chunk, overlap):
-    counter, texts = PieceCounter(PIECES, huge, chunk, overlap), [*_texts(), prose(3, 20_000)]
+    counter, texts = PieceCounter(MODEL, huge, chunk, overlap), [*_texts(), prose(3, 20_000)]
     assert counter.chunkable
     whole = sentencepiece.SentencePieceProcessor(model_file=PIECES)
     assert counter.count(texts) == [len(x) for x in whole.encode(texts)]
 
 
 def test_overlaps_are_widened_without_a_boundary():
-    counter = PieceCounter(PIECES, 100, 64, 8)
+    counter = PieceCounter(MODEL, 100, 64, 8)
     text = "a" * 1000 + " b" + "é" * 500
     assert counter.count([text]) == [len(counter.model.encode(text))] and counter.widened > 0
 
