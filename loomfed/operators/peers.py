@@ -138,7 +138,7 @@ def book_step(book: Book, action: str, peer: object, addresses: Sequence[str] |
     reference and at the last one the entry, ``register`` and ``forget`` change
     the addresses of an entry and leave its count.
     """
-    entry, given = book.get(peer), list(addresses or ())
+    entry, given = book.get(peer), [] if addresses is None else list(addresses)
     if action == "add":
         if not given:
             return book, "EmptyAddressList"

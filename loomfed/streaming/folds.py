@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from ..operators import coordination, health
+from ..operators import coordination, health, peers, timers
 from ..operators.folds import Step
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -84,6 +84,42 @@ def hold(events: DataFrame, key: str = "slot", payload: str = "payload") -> Data
     return stream_fold(events, [key], ["ts", "id"], lambda: None, step, f"taken {kind}")
 
 
+def hold_table(events: DataFrame, cap: int = coordination.HOLD_CAP, key: str = "node", slot: str = "slot", payload: str = "payload") -> DataFrame:
+    kind = events.schema[payload].dataType.simpleString()
+
+    def step(state: dict, row: dict) -> tuple[dict, dict]:
+        state, taken, dropped = coordination.hold_table_step(state, row["action"], row[slot], row[payload], cap)
+        return state, {"taken": taken, "dropped": dropped}
+
+    return stream_fold(events, [key], ["ts", "id"], dict, step, f"taken {kind}, dropped boolean")
+
+
+def scheduler(events: DataFrame, cap: int = timers.SCHEDULER_CAP, key: str = "node") -> DataFrame:
+    def step(heap: timers.Heap, row: dict) -> tuple[timers.Heap, dict]:
+        heap, fired, dropped = timers.schedule_step(heap, row["action"], row["ts_ns"], row["maturity_ns"], row["id"], cap)
+        return heap, {"fired": fired, "dropped": dropped}
+
+    return stream_fold(events, [key], ["ts_ns", "id"], list, step, "fired array<long>, dropped boolean")
+
+
+def address_book(events: DataFrame, cap: int = peers.BOOK_CAP, key: str = "book", order: Sequence[str] = ("ts", "id")) -> DataFrame:
+    def step(state: peers.Book, row: dict) -> tuple[peers.Book, dict]:
+        state, status = peers.book_step(state, row["action"], row["peer"], row["given"], cap)
+        refs, addresses = state.get(row["peer"], (0, ()))
+        return state, {"status": status, "refs": refs, "addresses": list(addresses)}
+
+    return stream_fold(events, [key], order, dict, step, "status string, refs long, addresses array<string>")
+
+
+def backpressure(df: DataFrame, cap: int, window_ns: int, strikes: int = health.PRESSURE_STRIKES, key: str = "peer") -> DataFrame:
+    def step(state: tuple[int | None, int], row: dict) -> tuple[tuple[int | None, int], dict]:
+        overloaded = row["depth"] * 100 >= cap * health.PRESSURE_PERCENT
+        state, verdict = health.backpressure_step(state, row["ts_ns"], overloaded, False, window_ns, strikes)
+        return state, {"verdict": verdict}
+
+    return stream_fold(df, [key], ["ts_ns", "id"], lambda: (None, 0), step, "verdict string")
+
+
 def rtt_ema(samples: DataFrame, key: str = "site", sample: str = "sample_ns", order: Sequence[str] = ("seq",)) -> DataFrame:
     def step(state: tuple[int, int, int] | None, row: dict) -> tuple[tuple[int, int, int], dict]:
         state = health.rtt_step(state, int(row[sample]))

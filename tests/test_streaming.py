@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from loomfed.operators import coordination, health
+from loomfed.operators import coordination, health, peers, timers
 from loomfed.sources.tables import as_timestamps
 from loomfed.sources.tables import stream as file_stream
 from loomfed.streaming import folds
@@ -56,6 +56,19 @@ def test_count_window_equals_its_batch_form(spark, files, tmp_path):
     same(drain(spark, folds.dedup_count_window(stream(), "name", "event_type", 2), tmp_path, "windows"), health.dedup_count_window(batch, "name", "event_type", 2), "id")
 
 
+def test_tables_with_capacities_equal_their_batch_forms(spark, files, tmp_path):
+    stream, batch = files
+    slots = lambda d: d.selectExpr("ts", "id", "name % 5 AS node", "name AS slot", "if(action = 'acquire', 'stash', 'flush') AS action", "payload")
+    got = drain(spark, folds.hold_table(slots(stream()), 2), tmp_path, "slots")
+    same(got.selectExpr("id", "cast(taken AS long) taken", "dropped"), coordination.hold_table(slots(batch), 2), "id", "taken", "dropped")
+    heap = lambda d: d.selectExpr("ts AS ts_ns", "id", "name % 5 AS node", "if(action = 'acquire', 'schedule', 'poll') AS action", "ts + id % 7 * 40000000000 AS maturity_ns")
+    same(drain(spark, folds.scheduler(heap(stream()), 3), tmp_path, "heaps"), timers.scheduler(heap(batch), 3), "id", "fired", "dropped")
+    book = lambda d: d.selectExpr("ts", "id", "name % 5 AS book", "name AS peer", "if(action = 'acquire', 'add', 'drop') AS action", "array(concat('/', id % 3)) AS given")
+    same(drain(spark, folds.address_book(book(stream()), 3), tmp_path, "books"), peers.address_book(book(batch), 3), "id", "status", "refs", "addresses")
+    depth = lambda d: d.selectExpr("ts AS ts_ns", "id", "name AS peer", "cast(id % 100 AS int) AS depth")
+    same(drain(spark, folds.backpressure(depth(stream()), 100, 3_600_000_000), tmp_path, "depths"), health.backpressure(depth(batch), 100, 3_600_000_000), "id", "verdict")
+
+
 def test_first_arrivals_and_totals(spark, files, tmp_path):
     stream, batch = files
     timed = stream().withColumn("at", F.timestamp_micros("ts"))
