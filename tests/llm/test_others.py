@@ -336,6 +336,20 @@ def test_no_document_is_lost_against_all_pairs(spark):
     assert all(classes[a] & classes[b] for a, b in pairs)
 
 
+def test_common_seeds_change_nothing(spark, monkeypatch):
+    """Lists dealt by salt have the same heads as whole ones."""
+    passages = [prose(70 + p, 60, 10**6) for p in range(3)]
+    line = prose(95, 20, 10**6)
+    rows = [(d, " ".join([prose(100 + d, 30, 10**6), line * (d % 2), passages[d % 3] if d % 5 else "", prose(400 + d, 30, 10**6)])) for d in range(60)]
+    docs = documents(spark, rows)
+    plain = sorted(map(tuple, passage_chains.shared_passages(docs).collect()))
+    monkeypatch.setattr(passage_chains, "HOT_LEAST", 5)
+    monkeypatch.setattr(passage_chains, "SALTS", 3)
+    own = docs.selectExpr("doc_id AS id", "text")
+    assert len(passage_chains.common_seeds(own, passage_chains.K, passage_chains.WINDOW)) > 20
+    assert sorted(map(tuple, passage_chains.shared_passages(docs).collect())) == plain and len(plain) > 30
+
+
 def test_equal_stretches_are_one_candidate(spark):
     """Two hundred documents have one line of forty words: nobody has a passage, and few meet."""
     line = prose(6, 40, 10**6)
