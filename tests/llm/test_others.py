@@ -270,10 +270,44 @@ def test_chaining_equals_all_predecessors():
 
 
 def test_alignment():
-    a, b = [1, 2, 3, 4, 5, 6], [1, 3, 9, 4, 6]
+    a, b = np.array([1, 2, 3, 4, 5, 6]), np.array([1, 3, 9, 4, 6])
     pairs = passage_chains.align(a, b)
-    assert pairs == [(0, 0), (2, 1), (3, 3), (5, 4)]
-    assert passage_chains.align([], b) == [] and passage_chains.best_stretch([], 80) is None
+    assert pairs.tolist() == [[0, 0], [2, 1], [3, 3], [5, 4]]
+    none = passage_chains.align(a[:0], b)
+    assert not len(none) and passage_chains.best_stretch(none, 80) is None and passage_chains.longest_stretch(none, 80) is None
+    rng = random.Random(4)
+    for _ in range(200):  # against the table of all prefixes
+        x = [rng.randrange(12) for _ in range(rng.randrange(0, 25))]
+        y = [rng.randrange(12) for _ in range(rng.randrange(0, 25))]
+        best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+        for i, j in np.ndindex(len(x), len(y)):
+            best[i + 1][j + 1] = best[i][j] + 1 if x[i] == y[j] else max(best[i][j + 1], best[i + 1][j])
+        got = passage_chains.align(np.array(x, dtype=np.int64), np.array(y, dtype=np.int64))
+        assert len(got) == best[-1][-1] and all(x[i] == y[j] for i, j in got.tolist()) and (np.diff(got, axis=0) > 0).all()
+    words = np.arange(400)
+    other = words.copy()
+    other[[50, 51, 120, 300]] = -1
+    got = passage_chains.align(words, other)
+    assert len(got) == 396 and (got[:, 0] == got[:, 1]).all()
+
+
+def test_stretches_equal_all_pairs():
+    """The best and the longest stretch against every first and last pair."""
+    rng = random.Random(7)
+    for _ in range(300):
+        i = np.cumsum([rng.choice([1, 1, 1, 2, 3, 9]) for _ in range(rng.randrange(1, 40))])
+        j = np.cumsum([rng.choice([1, 1, 1, 2, 4]) for _ in range(len(i))])
+        pairs = np.stack([i, j], 1)
+        passed = [0, *np.diff(pairs, axis=0).max(1).tolist()]
+        score, length = {}, {}
+        for a in range(len(i)):
+            for b in range(a, len(i)):
+                lost = sum(p - 1 for p in passed[a + 1 : b + 1])
+                score[a, b] = 20 * (b - a + 1) - 80 * lost
+                if 100 * (b - a + 1) >= 80 * (1 + sum(passed[a + 1 : b + 1])):
+                    length[a, b] = b - a
+        assert score[passage_chains.best_stretch(pairs, 80)] == max(score.values())
+        assert length[passage_chains.longest_stretch(pairs, 80)] == max(length.values())
 
 
 def test_passage_edge_cases(spark):
@@ -383,9 +417,9 @@ def test_every_passage_of_a_chain_is_given(spark):
 
 def test_stretches_at_the_threshold():
     edits = {5 * n + 2 for n in range(12)}  # 80 % of 60 words, none of their stretches scores
-    pairs = [(i, i) for i in range(60) if i not in edits]
+    pairs = np.array([(i, i) for i in range(60) if i not in edits])
     assert passage_chains.all_stretches(pairs, 46, 80) and not passage_chains.all_stretches(pairs, 61, 80)
-    far = [(i, i) for i in range(60)] + [(i, i + 40) for i in range(300, 355)]
+    far = np.array([(i, i) for i in range(60)] + [(i, i + 40) for i in range(300, 355)])
     assert passage_chains.all_stretches(far, 50, 80) == [(0, 59), (60, 114)]
 
 
