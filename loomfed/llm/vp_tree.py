@@ -41,7 +41,7 @@ from pyspark.sql.window import Window
 
 from .shared import discard, materialise
 
-SHARD_ROWS = 8_192
+SHARD_ROWS = 4_096
 PIVOTS = 1_024  # at most, for vectors of one length
 PIVOT_SAMPLE = 16_384  # vectors that the pivots are means of
 HOT_SHARE = 4_096
