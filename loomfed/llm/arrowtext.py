@@ -8,14 +8,21 @@ its own and is hashed block by block, so scratch memory follows the block.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 BLOCK_BYTES = 1 << 20
 
+try:
+    _LIBC = ctypes.CDLL("libc.so.6")
+    _LIBC.malloc_trim.argtypes = [ctypes.c_size_t]
+except (OSError, AttributeError):  # another C library: it keeps what it has
+    _LIBC = None
+
 _U = np.uint64
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -57,6 +64,13 @@ def _powers(n: int, base: int, name: str) -> np.ndarray:
     return have
 
 
+def give_back() -> None:
+    """Return memory that a worker no longer uses to the system: workers live on, and executors count all of it."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
+
+
 def text_slices(column: pa.ChunkedArray | pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Yield ``(first_row, bytes, offsets)`` for runs of rows of at most ``limit`` bytes.
 
@@ -83,6 +97,7 @@ def text_slices(column: pa.ChunkedArray | pa.Array, limit: int = SLICE_BYTES) ->
             yield base + row, raw[ends[row] : ends[stop]], ends[row : stop + 1] - ends[row]
             row = stop
         base += len(chunk)
+    give_back()
 
 
 def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

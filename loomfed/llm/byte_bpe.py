@@ -36,9 +36,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-RUN_CHARS = 1 << 20
-KNOWN_PIECES = 400_000
-LONG_CHARS = 1 << 20
+from .arrowtext import give_back
+
+RUN_CHARS = 1 << 18
+KNOWN_PIECES = 300_000
+LONG_CHARS = 1 << 18
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -296,6 +298,7 @@ def _coded(narrow: DataFrame, path: str, pattern: str, rows: int, work: Work, sc
         finally:
             if collected:
                 gc.enable()
+            give_back()
 
     return narrow.mapInArrow(run, schema)
 
