@@ -289,6 +289,18 @@ def test_alignment():
     other[[50, 51, 120, 300]] = -1
     got = passage_chains.align(words, other)
     assert len(got) == 396 and (got[:, 0] == got[:, 1]).all()
+    for n in range(60):  # long sides with edits, insertions, moved and repeated parts: nearly as long as the subsequence of the whole
+        x = [rng.randrange(300) for _ in range(200)]
+        y = [rng.randrange(300, 600) if rng.random() < 0.06 else w for w in x]
+        for _ in range(n % 5):
+            y.insert(rng.randrange(len(y)), 999)
+        if n % 3 == 0:
+            y = y[:60] + y[40:90] + y[60:]
+        if n % 7 == 0:
+            y = y[100:] + y[:100]
+        x, y = np.array(x), np.array(y)
+        got, whole = passage_chains.align(x, y), passage_chains._subsequence(x.tolist(), y.tolist())
+        assert (x[got[:, 0]] == y[got[:, 1]]).all() and (np.diff(got, axis=0) > 0).all() and len(got) >= 0.95 * len(whole)
 
 
 def test_stretches_equal_all_pairs():
