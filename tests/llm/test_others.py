@@ -447,3 +447,22 @@ def test_seeds_of_passages_near_the_threshold(spark):
             rows.append((2 * p + side, " ".join([prose(7000 + 2 * p + side, 40, 10**6), *own, prose(9000 + 2 * p + side, 40, 10**6)])))
     got = {r["doc_id"] // 2 for r in passage_chains.shared_passages(documents(spark, rows)).collect()}
     assert len(got) >= 57
+
+
+def test_a_bucket_of_seeds_has_the_lists_of_a_plain_grouping():
+    """Two documents and more, the earlier ones of three heads; a common seed's first row has all heads."""
+    rng = random.Random(5)
+    rows = [(rng.randrange(30), rng.randrange(-9, 9), rng.randrange(100)) for _ in range(400)] + [(99, 1, 3), (99, 1, 8)]
+    seed, doc, pos = (np.array(c, dtype=t) for c, t in zip(zip(*rows, strict=True), (np.int64, np.int64, np.int32), strict=True))
+    got = passage_chains.rank_seeds(seed, doc, pos, seed % 10 == 7, 3).to_pylist()
+    want = []
+    for s in sorted(set(seed.tolist())):
+        own = sorted((d, p) for t, d, p in rows if t == s)
+        docs = sorted({d for d, _ in own})
+        heads = [(d, p) for d, p in own[:12] if d in docs[:3]]
+        if s % 10 == 7:
+            want += [(s, d, p, True, d > docs[0], heads if not n else []) for n, (d, p) in enumerate(own)]
+        elif len(docs) > 1:
+            want += [(s, d, p, False, d > docs[0], [h for h in heads if h[0] < d]) for d, p in own]
+    assert [(r["seed"], r["doc"], r["pos"], r["hot"], r["later"], [(h["doc"], h["pos"]) for h in r["heads"]]) for r in got] == want
+    assert passage_chains.rank_seeds(seed[:0], doc[:0], pos[:0], seed[:0] > 0, 3).num_rows == 0
