@@ -126,10 +126,15 @@ def correlate_tag(df: DataFrame, *by: str) -> DataFrame:
     return df.withColumn("token", F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in by])))
 
 
+def deadline_reason(now: Column, deadline: Column) -> Column:
+    """``Timeout`` from the deadline on, else null; a row without a deadline is before it."""
+    return F.when(~F.coalesce(now < deadline, F.lit(True)), F.lit("Timeout"))
+
+
 def deadline_check(df: DataFrame, now: Column, deadline: Column) -> tuple[DataFrame, DataFrame]:
-    """Rows before their deadline, and the others with ``reason``; a row without a deadline is before it."""
-    early = F.coalesce(now < deadline, F.lit(True))
-    return df.filter(early), df.filter(~early).withColumn("reason", F.lit("Timeout"))
+    """Rows before their deadline, and the others with ``reason``; one table with both has :func:`deadline_reason`."""
+    reason = deadline_reason(now, deadline)
+    return df.filter(reason.isNull()), df.filter(reason.isNotNull()).withColumn("reason", reason)
 
 
 def deadline_match(then: DataFrame, timeouts: DataFrame, on: str = "exec_id") -> DataFrame:

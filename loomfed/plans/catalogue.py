@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import elementwise as E
 from ..operators import codec, coo, coordination, exchange, federated, health, models, peers, timers, vector_index
 from ..operators.coo import Coo
+from ..operators.joins import dealt_join
 from ..sources.tables import events, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -750,9 +751,10 @@ def correlate_tag(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("deadline_check", "SELECT l_orderkey, l_linenumber, CASE WHEN l_shipdate < o_orderdate + INTERVAL 60 DAY THEN NULL ELSE 'Timeout' END AS reason FROM lineitem JOIN orders ON l_orderkey = o_orderkey")
 def deadline_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    both = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-    ok, late = coordination.deadline_check(both, F.col("l_shipdate"), F.col("o_orderdate") + F.expr("INTERVAL 60 DAYS"))
-    return ok.withColumn("reason", F.lit(None).cast("string")).unionByName(late).select(*KEY, "reason")
+    lines = table(spark, sf_dir, "lineitem").select(*KEY, "l_shipdate")
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_orderdate")
+    reason = coordination.deadline_reason(F.col("l_shipdate"), F.col("o_orderdate") + F.expr("INTERVAL 60 DAYS"))
+    return dealt_join(lines, orders, ["l_orderkey"]).select(*KEY, reason.alias("reason"))
 
 
 @query(

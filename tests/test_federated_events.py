@@ -3,7 +3,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from loomfed.operators import codec, coordination, exchange, federated, health, models, peers, timers, vector_index
+from loomfed.operators import codec, coordination, exchange, federated, health, joins, models, peers, timers, vector_index
 from loomfed.operators.folds import ordered_fold
 
 
@@ -176,6 +176,17 @@ def test_limits_queues_holds(spark):
     assert health.outbound_queue(o, None).filter("status = 'dropped'").count() == 0
 
 
+def test_deadline_check_deals_rows_by_their_number(spark, monkeypatch):
+    import __spark_entry__
+
+    monkeypatch.setattr(joins, "PART_ROWS", 1_000)
+    out = __spark_entry__.queries()["deadline_check"](spark, "/root/testdata/sf0.01")
+    sizes = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 60_000 and max(sizes) < 3_000  # four shuffle partitions would have 15,000 each
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1
+
+
 def test_latches_and_deadlines(spark):
     df = spark.createDataFrame([(1, 1, "g", 5), (2, 2, "g", 6), (3, 3, "h", 7), (4, 4, "", 8), (5, 5, "", 9)], "ts long, id long, g string, value long")
     assert rows(coordination.first_arrival(df, ["g"]), "id") == [(1,), (3,), (4,), (5,)]
