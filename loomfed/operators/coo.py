@@ -17,8 +17,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import elementwise as E
+from .joins import parts_of
 from .lineage import cut
 
+#: Kernels and biases of up to so many elements are broadcast.
+BROADCAST_TAPS = 65_536
+
 
 class ShapeError(ValueError):
     """The shapes or axes of an operation do not fit."""
@@ -65,7 +69,8 @@ def constant(spark: SparkSession, values: Sequence[float], dims: Sequence[int])
 
 
 def fill(spark: SparkSession, dims: Sequence[int], value: float) -> Coo:
-    flat = spark.range(math.prod(dims)).withColumnRenamed("id", "k")
+    size = math.prod(dims)
+    flat = spark.range(0, size, 1, max(parts_of(size), spark.sparkContext.defaultParallelism)).withColumnRenamed("id", "k")
     return _take(flat, _unflat(F.col("k"), dims), F.lit(value), dims)
 
 
@@ -77,6 +82,11 @@ def ones(spark: SparkSession, dims: Sequence[int]) -> Coo:
     return fill(spark, dims, 1.0)
 
 
+def _small(df: DataFrame, dims: Sequence[int]) -> DataFrame:
+    """The table of a kernel or bias, broadcast if it is small: as a key, a few channels would be a few tasks."""
+    return F.broadcast(df) if math.prod(dims) <= BROADCAST_TAPS else df
+
+
 def _flat(t: Coo) -> Column:
     return fold(lambda k, ax: k * t.dims[ax] + F.col(f"i{ax}"), range(t.rank), F.lit(0).cast("long"))
 
@@ -368,7 +378,9 @@ def conv(
     """``t``: (n, c, x, ...); ``weight``: (o, c / group, k, ...), over any number of axes.
 
     Each element meets only the kernel taps of its channel: an equi-join on
-    the group and the channel, and a partial sum by output position.
+    the group and the channel, and a partial sum by output position.  Elements
+    are dealt into parts of a fixed number of products, whole samples together
+    where there are samples enough.
     """
     n, c, *sizes = t.dims
     o, wc, *ks = weight.dims
@@ -381,20 +393,22 @@ def conv(
     if min(lengths, default=1) < 1:
         raise ShapeError(f"kernel {weight.dims} does not fit {t.dims}")
     taps = weight.df.select(F.col("i0").alias("o"), F.floor(F.col("i0") / (o // group)).alias("_g"), F.col("i1").alias("_c"), *[F.col(f"i{2 + k}").alias(f"k{k}") for k in range(axes)], F.col("v").alias("w"))
-    own = t.df.withColumn("_g", F.floor(F.col("i1") / wc)).withColumn("_c", F.col("i1") % wc)
-    met = own.join(taps, ["_g", "_c"])
+    parts = parts_of(math.prod(t.dims) * (o // group) * math.prod(ks))
+    own = t.df.repartition(parts, *(t.index[:1] if n >= 16 * parts else t.index)) if parts > 1 else t.df
+    own = own.withColumn("_g", F.floor(F.col("i1") / wc)).withColumn("_c", F.col("i1") % wc)
+    met = own.join(_small(taps, weight.dims), ["_g", "_c"])
     for k in range(axes):
         at = F.col(f"i{2 + k}") + before[k] - F.col(f"k{k}") * dilation[k]
         met = met.withColumn(f"a{k}", at).filter((F.col(f"a{k}") >= 0) & (F.col(f"a{k}") % stride[k] == 0) & (F.col(f"a{k}") < lengths[k] * stride[k]))
     places = [F.floor(F.col(f"a{k}") / stride[k]).alias(f"p{k}") for k in range(axes)]
-    parts = met.select(F.col("i0").alias("n"), "o", *places, (F.col("v") * F.col("w")).alias("v"))
+    products = met.select(F.col("i0").alias("n"), "o", *places, (F.col("v") * F.col("w")).alias("v"))
     dims = (n, o, *lengths)
     if any(e > 1 or a >= k or b >= k for e, a, b, k in zip(dilation, before, after, ks, strict=True)):  # windows may lie in the padding alone
         zeros_of = fill(t.df.sparkSession, dims, 0.0).df
-        parts = parts.unionByName(zeros_of.select(*[F.col(f"i{k}").alias(x) for k, x in enumerate(["n", "o", *[f"p{k}" for k in range(axes)]])], "v"))
-    out = parts.groupBy("n", "o", *[f"p{k}" for k in range(axes)]).agg(F.sum("v").alias("v"))
+        products = products.unionByName(zeros_of.select(*[F.col(f"i{k}").alias(x) for k, x in enumerate(["n", "o", *[f"p{k}" for k in range(axes)]])], "v"))
+    out = products.groupBy("n", "o", *[f"p{k}" for k in range(axes)]).agg(F.sum("v").alias("v"))
     if bias is not None:
-        out = out.join(bias.df.select(F.col("i0").alias("o"), F.col("v").alias("_b")), "o").withColumn("v", F.col("v") + F.col("_b"))
+        out = out.join(_small(bias.df.select(F.col("i0").alias("o"), F.col("v").alias("_b")), bias.dims), "o").withColumn("v", F.col("v") + F.col("_b"))
     return _take(out, [F.col(x) for x in ("n", "o", *[f"p{k}" for k in range(axes)])], F.col("v"), dims)
 
 

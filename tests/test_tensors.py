@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomfed.functions import elementwise as E
-from loomfed.operators import coo
+from loomfed.operators import coo, joins
 from loomfed.operators.coo import ShapeError
 
 NAN, INF = float("nan"), float("inf")
@@ -172,6 +172,21 @@ def test_convolution_in_two_dimensions(spark, strides, pads, dilations, group):
         coo.conv(own[0], own[1], group=3)
 
 
+def test_convolution_is_dealt_by_its_products(spark, monkeypatch):
+    monkeypatch.setattr(joins, "PART_ROWS", 1_000)
+    rng = np.random.Generator(np.random.PCG64(5))
+    w, b = rng.normal(size=(4, 1, 2, 3)), rng.normal(size=4)
+    for samples in (400, 2):  # whole samples in a part, and parts of samples
+        x = rng.normal(size=(samples, 2, 5, 6))
+        own = [coo.constant(spark, a.ravel().tolist(), a.shape) for a in (x, w, b)]
+        out = coo.conv(*own, (2, 1), (2, 3, 2, 3), (1, 1), 2)
+        plan = out.df._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning(_g" not in plan and "SortMergeJoin" not in plan  # two channels were two tasks
+        assert plan.count("hashpartitioning(i0#") == 1 and f", {-(-samples * 60 * 12 // 1_000)})" in plan.replace(", REPARTITION_BY_NUM", ")")
+        np.testing.assert_allclose(dense(out), _convolved(x, w, b, (2, 1), (2, 3, 2, 3), (1, 1), 2), atol=1e-12)
+    assert coo.zeros(spark, (50, 200)).df.rdd.getNumPartitions() == 10
+
+
 def test_pooling_over_two_axes_with_pads(spark):
     rng = np.random.Generator(np.random.PCG64(4))
     x = rng.normal(size=(2, 3, 5, 6)) - 5
