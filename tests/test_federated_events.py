@@ -1,5 +1,6 @@
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -48,6 +49,27 @@ def test_index_add_search_remove(spark, monkeypatch):
     assert len(centres) == 2 and rows(vector_index.search_ivf(v, q, centres, 3, probes=2), "query_id", "rank", "vec_id") == want
 
 
+def test_inverted_file_deals_lists_and_meets_every_vector(spark, monkeypatch):
+    rng = np.random.Generator(np.random.PCG64(9))
+    x = np.repeat(rng.normal(size=(60, 6)).round(1), 5, 0)  # ties
+    own = [(n, v.tolist()) for n, v in enumerate(x)] + [(900, None), (901, [math.nan] * 6), (902, [1.0, 2.0]), (903, [1e200] * 6), (904, [0.0, None, 0.0, 0.0, 0.0, 0.0])]
+    v = spark.createDataFrame(own, "vec_id long, embedding array<double>")
+    q = v.filter("vec_id % 4 = 0 or vec_id > 900").withColumnRenamed("vec_id", "query_id")
+    finite = [(n, np.array(e)) for n, e in own if n < 900 or n == 903]
+    want = []
+    for n, e in [(n, e) for n, e in finite if n % 4 == 0 or n > 900]:
+        d = sorted((math.sqrt(math.fsum(((e - o) ** 2).tolist())), m) for m, o in finite)
+        want += [(n, r + 1, m) for r, (gap, m) in enumerate(x for x in d if math.isfinite(x[0]))][:7]
+    want = sorted([*want, (902, 1, 902)])
+    monkeypatch.setattr(vector_index, "LIST_ROWS", 20, raising=False)
+    monkeypatch.setattr(vector_index, "LIST_QUERIES", 30, raising=False)
+    monkeypatch.setattr(vector_index, "STEP_ROWS", 8)
+    centres = vector_index.train(v.filter("vec_id < 300"), 5)
+    assert rows(vector_index.search_ivf(v, q, centres, 7, probes=2), "query_id", "rank", "vec_id") == want
+    assert rows(vector_index.search_ivf(v, q, [], 7), "query_id", "rank", "vec_id") == want
+    assert rows(vector_index.search(v, q, 7), "query_id", "rank", "vec_id") == want
+
+
 def test_registered_inverted_file_loses_no_neighbour(spark):
     import __spark_entry__
 
