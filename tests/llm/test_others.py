@@ -396,6 +396,19 @@ def test_common_seeds_change_nothing(spark, monkeypatch):
     assert sorted(map(tuple, passage_chains.shared_passages(docs).collect())) == plain and len(plain) > 30
 
 
+def test_alignments_are_dealt_by_their_number(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(passage_chains, "ALIGNED_PART", 5, raising=False)
+    text = " ".join(f"w{n}" for n in range(60))
+    docs = spark.createDataFrame([(n, text) for n in range(41)], "id long, text string")
+    chains = spark.createDataFrame([(n, 0, 0, 60, 0, 60) for n in range(1, 41)], passage_chains.CHAIN_SCHEMA)
+    found, any_ = passage_chains._aligned(chains, docs, 50, 80)
+    assert any_ and sorted(map(tuple, found.collect())) == [(n, 0, 60, 0, 0, 60, 60) for n in range(1, 41)]
+    assert found.select(F.input_file_name()).distinct().count() > 4  # few bytes would be one task
+    assert passage_chains._aligned(chains.limit(0), docs, 50, 80)[1] is False
+
+
 def test_equal_stretches_are_one_candidate(spark):
     """Two hundred documents have one line of forty words: nobody has a passage, and few meet."""
     line = prose(6, 40, 10**6)
